@@ -4,7 +4,7 @@ Which byte strings of 50 bytes also start in a document with a smaller id is
 settled in three rounds, each a pass over stored shards and an exchange of
 small numpy arrays:
 
-1. Every 50-byte string has a minimum among the hashes of its 16-byte parts. A
+1. Every 50-byte string has a minimum among the hashes of its 24-byte parts. A
    value that one shard alone has can't belong to a shared string.
 2. Neighbouring strings with one minimum form a run. Of the runs with a shared
    minimum, hashes of the whole content tell most: an equal run in a smaller
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 from .common import shared_dir, texts, written
 
 #: Length of the strings, of their hashed parts, and hashes in a string.
-LENGTH, PART = 50, 16
+LENGTH, PART = 50, 24
 WIDTH = LENGTH - PART + 1
 #: Bytes of text in a stored shard (one document may be longer), and for each range of minima.
-SHARD, RANGE = 4 << 20, 16 << 20
+SHARD, RANGE = 4 << 20, 4 << 20
 #: Bytes of text that get a suffix array at once.
 ARRAY = 1 << 20
 BLOCK = 1 << 15
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 ODD = np.uint64(0x5851F42D4C957F2D)
+INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 LAST = np.iinfo(np.int64).max
 
 
@@ -49,14 +50,16 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def minima(data: np.ndarray) -> np.ndarray:
-    """For each place the least hash of the 16-byte parts of the 50 bytes from there."""
+    """For each place the least hash of the 24-byte parts of the 50 bytes from there."""
     n = max(len(data) - LENGTH + 1, 0)
     out = np.empty(n, np.uint64)
     for at in range(0, n, BLOCK):
         w = words8(data[at : at + BLOCK + LENGTH - 1]).astype(np.uint64)
-        h = w[:-8] * M1
-        h ^= h >> np.uint64(32)
-        h += w[8:] * M2
+        last = len(w) - PART + 8
+        h = w[:last] * M1
+        for k in range(8, PART, 8):
+            h ^= h >> np.uint64(32)
+            h = (h + w[k : last + k]) * M2
         h ^= h >> np.uint64(29)
         h *= M3
         h ^= h >> np.uint64(32)
@@ -106,14 +109,15 @@ class Shard:
 
     def contents(self, at: np.ndarray) -> np.ndarray:
         """Hashes of the whole bytes of some runs, by prefix sums."""
-        up = np.full(len(self.data) + 1, ODD, np.uint64)
-        up[:1] = 1
+        n = len(self.data)
+        up, down = np.full(n + 1, ODD, np.uint64), np.full(n + 1, INVERSE, np.uint64)
+        up[0] = down[0] = 1
         np.cumprod(up, out=up)
-        run = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumprod(down, out=down)
+        run = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data + np.uint64(1)) * up[:-1], out=run[1:])
         a, n = self.start[at], self.count[at] + LENGTH - 1
-        top = up[len(self.data) - a]  # every sum is lifted to the same power
-        h = (run[a + n] - run[a]) * top * M1
+        h = (run[a + n] - run[a]) * down[a] * M1  # as if each run began at place 0
         return (h ^ (h >> np.uint64(31))) + n.astype(np.uint64) * M2
 
     def keys(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +151,10 @@ def ranges_of(m: np.ndarray, buckets: int) -> np.ndarray:
 def cuts(m: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """Bucket, begin and end of each bucket's part of a sorted array."""
     b = ranges_of(m, buckets)
-    edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    for i, j in zip(edge.tolist(), np.append(edge[1:], len(b)).tolist(), strict=True):
+    if not len(b):
+        return
+    edge = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b)).tolist()
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
         yield int(b[i]), i, j
 
 
