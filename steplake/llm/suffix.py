@@ -359,7 +359,10 @@ def removed_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
         every = np.sort(np.concatenate(parts))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.isin(p, twice).tobytes() for p in parts]
+        whole = np.concatenate(parts)
+        at = np.minimum(np.searchsorted(twice, whole), max(len(twice) - 1, 0))
+        flags = twice[at] == whole if len(twice) else np.zeros(len(whole), bool)
+        bits = [x.tobytes() for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     told = per_shard(shards, [], values, value).groupBy("bucket").applyInArrow(shared, reply)
