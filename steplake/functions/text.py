@@ -60,7 +60,8 @@ def front_matter(c: Column) -> Column:
     parts = F.split(c, "---", 3)
     rows = F.filter(F.split(F.element_at(parts, 2), "\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(rows, lambda x: F.struct(strip(F.element_at(F.split(x, ":", 2), 1)).alias("k"), F.regexp_replace(strip(F.element_at(F.split(x, ":", 2), 2)), "^[\"']|[\"']$", "").alias("v")))
-    return F.when(F.startswith(c, F.lit("---")) & (F.size(parts) == 3), F.map_from_entries(pairs)).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    return F.map_from_entries(F.when(F.startswith(c, F.lit("---")) & (F.size(parts) == 3), pairs).otherwise(none))
 
 
 def first_paragraph(c: Column, limit: int = 280) -> Column:
