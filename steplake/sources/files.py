@@ -14,9 +14,8 @@ from ..operators.selection import first_wins
 
 def whole_texts(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """``path, text``: one row per file. Bodies aren't read where only paths are used."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
-    r = r.option("pathGlobFilter", glob) if glob else r
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    r = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    return r.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def yaml_rows(files: DataFrame) -> DataFrame:
