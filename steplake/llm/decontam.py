@@ -44,6 +44,7 @@ class Tokens:
 
     A number (3, 3.5 or a number word) is NUM, a unit UNIT, a capitalised word
     that doesn't start a sentence NAME; another word is its hash, kept over 3.
+    ``plain`` has no NAME, so it doesn't depend on the case of letters.
     """
 
     def __init__(self, data: bytes, units: np.ndarray, short: np.ndarray, numbers: np.ndarray):
@@ -66,11 +67,12 @@ class Tokens:
         number |= isin(h, numbers)
         after = np.zeros(len(h), bool)
         after[1:] = number[:-1] & ~opens[1:]
-        code = np.where(h > 3, h, h + np.uint64(4))
-        code[capital[start] & ~opens] = NAME
-        code[isin(h, units) | (after & isin(h, short))] = UNIT
-        code[number] = NUM
-        self.code, self.start, self.end = code, start, end
+        plain = np.where(h > 3, h, h + np.uint64(4))
+        plain[isin(h, units) | (after & isin(h, short))] = UNIT
+        plain[number] = NUM
+        self.code = np.where(capital[start] & ~opens & (plain > 3), np.uint64(NAME), plain)
+        self.plain, self.start, self.end = plain, start, end
+        self.inner = ~opens & (plain > 3)  # words whose capital would tell a name
 
     def words(self, a: int, b: int) -> list[bytes]:
         return [self.low[x:y] for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
@@ -95,67 +97,92 @@ def window_hashes(c: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-class Templates:
-    """A block of benchmark items as canonical tokens, and an index of their windows."""
+class Index:
+    """The windows of some canonical token lists, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, span: int):
-        self.lists = word_keys(UNITS), word_keys(SHORT_UNITS), word_keys(NUMBER_WORDS)
-        self.window, self.items = window, []
-        index: dict[int, list[tuple[int, int]]] = {}
-        known: set[int] = set()
-        for item, text in items:
-            t = Tokens(text.encode("utf-8", "surrogatepass"), *self.lists)
-            c = t.code
-            if len(c) < window:
-                continue
-            known.update(c.tolist())
+    def __init__(self, lists: list[np.ndarray], window: int):
+        self.window, self.places = window, {}
+        for row, c in enumerate(lists):
             for i, h in enumerate(window_hashes(c, np.arange(len(c) - window + 1), window).tolist()):
                 if (c[i : i + window] < 4).sum() * 2 <= window:
-                    index.setdefault(h, []).append((len(self.items), i))
-            self.items.append((item, c, t.words(0, len(c)), min(span, len(c))))
-        self.index, self.keys = index, np.array(sorted(index), np.uint64)
-        self.known = np.array(sorted(known), np.uint64)
+                    self.places.setdefault(h, []).append((row, i))
+        self.keys = np.array(sorted(self.places), np.uint64)
+        self.known = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]))
         self.bits = np.zeros(1 << 16, bool)  # a first test of membership in known
         self.bits[(self.known >> np.uint64(48)).astype(np.int64)] = True
         self.bits[0] = True
 
-    def matches(self, batch: list[str]) -> list[tuple[int, int, int, int]]:
-        """Text number, item, longest consistent run in tokens, tokens of the item."""
-        parts = [t.encode("utf-8", "surrogatepass") for t in batch]
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        t = Tokens(b"\n".join(parts), *self.lists)
-        c, k = t.code, self.window
+    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows that the index has, and their hashes."""
+        k = self.window
         if len(c) < k or not len(self.keys):
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         maybe = np.flatnonzero(self.bits[(c >> np.uint64(48)).astype(np.int64)])
         seen = np.zeros(len(c), bool)
         seen[maybe[isin(c[maybe], self.known)]] = True
         run = np.concatenate([[0], np.cumsum(seen)])
         at = np.flatnonzero(run[k:] - run[:-k] == k)
+        h = window_hashes(c, at, k)
+        hit = isin(h, self.keys)
+        return at[hit], h[hit]
+
+
+class Templates:
+    """A block of benchmark items as canonical tokens, with and without names."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, span: int):
+        self.lists = word_keys(UNITS), word_keys(SHORT_UNITS), word_keys(NUMBER_WORDS)
+        self.window, self.items = window, []
+        for item, text in items:
+            t = Tokens(text.encode("utf-8", "surrogatepass"), *self.lists)
+            if len(t.code) >= window:
+                self.items.append((item, t, t.words(0, len(t.code)), min(span, len(t.code))))
+        self.typed = Index([t.code for _, t, _, _ in self.items], window)
+        self.plain = Index([t.plain for _, t, _, _ in self.items], window)
+
+    def matches(self, batch: list[str]) -> list[tuple[int, int, int, int]]:
+        """Text number, item, longest consistent run in tokens, tokens of the item."""
+        parts = [t.encode("utf-8", "surrogatepass") for t in batch]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        t = Tokens(b"\n".join(parts), *self.lists)
+        best: dict[tuple[int, int], int] = {}
+        for index, c, view in ((self.typed, t.code, "code"), (self.plain, t.plain, "plain")):
+            for doc, item, shift, run in self.runs(t, index, c, view, ends):
+                if view == "plain" and not self.caseless(t, doc, item, shift, ends):
+                    continue
+                best[doc, item] = max(best.get((doc, item), 0), run)
+        return [(doc, self.items[item][0], run, len(self.items[item][2])) for (doc, item), run in best.items()]
+
+    def caseless(self, t: Tokens, doc: int, item: int, shift: int, ends: np.ndarray) -> bool:
+        """Whether the words of a text that face an item are all capitalised or none is, so that case tells no names."""
+        first = int(np.searchsorted(t.start, ends[doc - 1])) if doc else 0
+        last = int(np.searchsorted(t.start, ends[doc]))
+        a, b = max(first, shift), min(last, shift + len(self.items[item][2]))
+        named = (t.code[a:b] == NAME)[t.inner[a:b]]
+        return bool(named.all() or not named.any())
+
+    def runs(self, t: Tokens, index: Index, c: np.ndarray, view: str, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text number, item number, diagonal and length of each consistent run of windows."""
+        k = self.window
+        at, h = index.hits(c)
         of = np.searchsorted(ends, t.start[at], "right")
         inside = of == np.searchsorted(ends, t.start[at + k - 1], "right")
-        at, of = at[inside], of[inside]
-        h = window_hashes(c, at, k)
-        hit = np.flatnonzero(isin(h, self.keys))
         found: dict[tuple[int, int, int], list[int]] = {}
-        for d, p, x in zip(of[hit].tolist(), at[hit].tolist(), h[hit].tolist(), strict=True):
-            for item, i in self.index[x]:
+        for d, p, x in zip(of[inside].tolist(), at[inside].tolist(), h[inside].tolist(), strict=True):
+            for item, i in index.places[x]:
                 found.setdefault((d, item, p - i), []).append(p)
-        best: dict[tuple[int, int], int] = {}
         for (doc, item, shift), places in found.items():
-            _, ic, iwords, need = self.items[item]
-            longest, begin, last = 0, places[0], places[0]
+            _, it, iwords, need = self.items[item]
+            ic = getattr(it, view)
+            begin, last = places[0], places[0]
             for p in [*places[1:], None]:
                 if p is not None and p - last <= k:
                     last = p
                     continue
                 a, b = begin, last + k
                 if b - a >= need and bool((c[a:b] == ic[a - shift : b - shift]).all()) and consistent(t.words(a, b), iwords[a - shift : b - shift], c[a:b]):
-                    longest = max(longest, b - a)
+                    yield doc, item, shift, b - a
                 begin = last = p
-            if longest:
-                best[doc, item] = max(best.get((doc, item), 0), longest)
-        return [(doc, self.items[item][0], run, len(self.items[item][1])) for (doc, item), run in best.items()]
 
 
 def consistent(words: list[bytes], item: list[bytes], codes: np.ndarray) -> bool:
@@ -177,7 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
     canonical tokens, at most half placeholders, are matched by hash; windows on
     one diagonal form runs; a run of ``span`` tokens (or the whole item, where it
     is shorter) whose canonical tokens are equal and whose slots map one to one
-    counts. Items of under ``window`` tokens can't be told from chance and never
+    counts. Where a passage is all in capitals or has none, case tells no names;
+    there names are matched as ordinary words. Items of under ``window`` tokens can't be told from chance and never
     match. The benchmark goes to the tasks in blocks of ``block`` items (a proven
     bound); a larger benchmark means more passes, never fewer items.
 

@@ -203,8 +203,8 @@ def test_license_join_is_exact():
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "If Anna buys 3 kg of apples for 5 dollars how many kg of apples can Anna buy for 20 dollars"), (2, "too short"), (3, None)], "item_id long, text string")
     same = "Well. If Bob buys 7 km of apples for 9 euros how many km of apples can Bob buy for 40 euros in all"
-    rows = [(1, same), (2, same.replace("can Bob", "can Carl")), (3, "nothing of the kind"), (4, None), (None, "too short")]
-    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(make(spark, rows), bench).collect()] == [(1, 1)]
+    rows = [(1, same), (2, same.replace("can Bob", "can Carl")), (3, "nothing of the kind"), (4, None), (None, "too short"), (5, same.upper().replace("BOB", "ANNA")), (6, same.lower())]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(make(spark, rows), bench).collect()) == [(1, 1), (5, 1), (6, 1)]
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(make(spark, rows), bench).collect()) == [0, 2, 3, 4]
 
 
