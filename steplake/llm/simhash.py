@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,11 @@ BITS = 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Groups up to this size are compared pair by pair at once, larger ones by a search.
 SMALL = 24
+#: Key groups of more fingerprints are dealt anew by finer keys; the finest leave 12 bits free, so at most 4096.
+MOST = 4096
+#: Keys of large groups up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 17
+ALL = (1 << 64) - 1
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -130,16 +136,70 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(*held)
 
 
+def first_masks() -> list[int]:
+    """The bits of the 8 keys: a segment of 16 bits and one half of the next one."""
+    byte = lambda k: 0xFF << (56 - 8 * (k % 8))
+    return [byte(2 * i) | byte(2 * i + 1) | byte(2 * i + half) for i in range(SEGMENTS) for half in (2, 3)]
+
+
+def finer(mask: int, unit: int) -> list[int]:
+    """Masks that also fix all free units of so many bits but 3: near fingerprints differ in no more units."""
+    free = [u for u in range(0, 64, unit) if not mask >> u & 1]
+    return [ALL ^ sum(((1 << unit) - 1) << u for u in three) for three in itertools.combinations(free, BITS)]
+
+
+def signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def keyed(rows: DataFrame, masks: F.Column) -> DataFrame:
+    """``key, mask, fp, rep``: a row's keys are hashes of its bits under each mask."""
+    each = rows.select("fp", "rep", F.explode(masks).alias("mask"))
+    return each.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp", "rep")
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all near fingerprints of ``fp, rep`` (distinct fp).
+
+    Near fingerprints share a key of 24 bits. A key that more than MOST share is
+    replaced by finer ones: of the 5 bytes that it leaves free at most 3 differ,
+    so 2 more are fixed, in each of 10 ways; then, of 6 half bytes, 3 more, in
+    each of 20. No task gets a larger group, and no near pair is lost. Only rows
+    of large groups are dealt anew.
+    """
+    spark = nodes.sparkSession
+    masks = first_masks()
+    rows = keyed(nodes, F.array(*(F.lit(m) for m in signed(masks))))
+    out = []
+    for unit in (8, 4):
+        large = cut(rows.groupBy("key").count().filter(F.col("count") > MOST).select("key"))
+        n = large.count()
+        if not n:
+            break
+        large = F.broadcast(large) if n <= MOST_BROADCAST else large
+        out.append(rows.join(large, "key", "left_anti"))
+        steps = [(m, finer(m, unit)) for m in masks]
+        table = spark.createDataFrame([(signed([m])[0], signed(f)) for m, f in steps], "mask long, finer array<bigint>")  # at most 56 rows
+        rows = rows.join(large, "key", "left_semi").join(F.broadcast(table), "mask")
+        rows = keyed(rows, F.col("finer")).distinct()
+        masks = sorted({f for _, fs in steps for f in fs})
+    found = None
+    for part in (*out, rows):
+        linked_rows = part.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(links, "a long, b long")
+        found = linked_rows if found is None else found.unionByName(linked_rows)
+    return found
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of each row: fingerprints within 3 bits link.
 
     Rows of equal fingerprint are one node, its smallest id. The ring theorem
     gives near fingerprints a segment of 16 bits without a difference whose next
     segment has at most one, so one of that segment's halves has none: each
-    fingerprint has 8 keys of 24 bits, and near ones share a key. Rows are
-    dealt by key and sorted; each key's group gives a forest of links
-    (``group_links``), which the star contraction joins to components.
-    Fingerprints and links stay distributed.
+    fingerprint has 8 keys of 24 bits, and near ones share a key (``near_links``
+    splits large groups). Rows are dealt by key and sorted; each key's group gives
+    a forest of links (``group_links``), which the star contraction joins to
+    components. Fingerprints and links stay distributed.
 
     A null or empty text has fingerprint 0, which links like any other; a null id
     stays and its component is the smallest id reachable (null if none); repeated
@@ -147,15 +207,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     ignored; texts are hashed whole.
     """
     fps = cut(fingerprints(df, shingle, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    turned = lambda i: F.expr(f"shiftleft(fp, {16 * i}) | shiftrightunsigned(fp, {64 - 16 * i})") if i else F.col("fp")
-    keys = []
-    for i in range(SEGMENTS):
-        top = F.shiftrightunsigned(turned(i), 32)  # segment i and the next one
-        keys += [F.shiftright(top, 8) + F.lit(2 * i << 40), F.shiftright(top, 16) * 256 + top.bitwiseAND(F.lit(255)) + F.lit((2 * i + 1) << 40)]
-    keyed = nodes.filter("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    found = components(dealt.mapInArrow(links, "a long, b long"))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components(near_links(nodes.filter("rep is not null")))
     groups = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id")
 

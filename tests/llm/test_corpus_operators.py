@@ -115,6 +115,35 @@ def test_near_links_of_large_groups():
     assert sum(map(len, a)) < len(fp)
 
 
+@pytest.mark.parametrize("most", [2, 40, 4096])
+def test_near_links_by_finer_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    r = random.Random(6)
+    fps = {0, 2**64 - 1}
+    for _ in range(8):
+        base = r.getrandbits(64)
+        for _ in range(40):
+            fps.add(base)
+            base ^= sum(1 << b for b in set(r.choices(range(64), k=r.randint(1, 5))))
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, rep long")
+    got = dict(common.components(simhash.near_links(nodes)).collect())
+    parent = list(range(len(fps)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    assert len(set(map(top, range(len(fps))))) < len(fps) - 100
+    assert all(got.get(i, i) == top(i) for i in range(len(fps)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
