@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, texts
+from .common import components, cut, small_batches, texts, written
 
 SEED = 42
 SEGMENTS = 4
@@ -25,22 +25,41 @@ MOST = 4096
 #: Keys of large groups up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 17
 ALL = (1 << 64) - 1
+#: Differing bits up to which fingerprints of similar texts are compared further: at a
+#: similarity of 0.8 they differ in 10 on average, in over 24 once in a million pairs.
+WIDE_BITS = 24
+WIDE_SEGMENTS = 8
+#: A similar pair is missed if none of BANDS keys of ROWS_OF_BAND least hashes is equal:
+#: (1 - 0.8 ** 4) ** 10, at most 0.6 %.
+BANDS = 10
+ROWS_OF_BAND = 4
+#: Slots of the sketch; its estimate of a similarity of 0.8 has a deviation of 0.025.
+SLOTS = 256
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hash_of = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([hash_of(b" ".join(words), SEED)], np.uint64)
+    line = b" ".join(words)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size + 1) - size - 1
+    stop = (start + size)[shingle - 1 :]
+    return np.array([hash_of(line[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist(), strict=False)], np.uint64)
 
 
 def fingerprint(text: str, shingle: int) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed integer."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
+    return simhash_of(shingle_hashes(text, shingle))
+
+
+def simhash_of(hs: np.ndarray) -> int:
+    if not len(hs):
         return 0
-    hash_of = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hs = np.array([hash_of(b" ".join(words), SEED)], np.uint64)
-    else:
-        line = b" ".join(words)
-        size = np.array([len(w) for w in words])
-        start = np.cumsum(size + 1) - size - 1
-        stop = (start + size)[shingle - 1 :]
-        hs = np.array([hash_of(line[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist(), strict=False)], np.uint64)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hs), 65536):
         ones += np.unpackbits(hs[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -58,44 +77,71 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def within_ring(x: np.ndarray) -> np.ndarray:
+def within_ring(x: np.ndarray, bits: int = BITS, segments: int = SEGMENTS) -> np.ndarray:
     """The pigeonring test on differences x = a ^ b, before the full count.
 
-    With 4 segments and a limit of 3, some segment starts a ring chain whose
-    first l segments differ in at most 3 l / 4 bits for every l: 0, 1, 2, 3.
+    If at most ``bits`` bits differ, some segment starts a chain round the ring
+    whose first l segments differ in at most bits * l / segments, for every l.
     """
-    d = np.bitwise_count(x[..., None].view(np.uint16).reshape(*x.shape, 4)).astype(np.int8)
+    d = np.bitwise_count(x[..., None].view(f"u{8 // segments}").reshape(*x.shape, segments)).astype(np.int16)
+    run = np.cumsum(np.concatenate([np.zeros((*x.shape, 1), np.int16), d, d], -1), -1, dtype=np.int16)
+    budget = bits * np.arange(1, segments + 1) // segments
     ok = np.zeros(x.shape, bool)
-    for i in range(SEGMENTS):
-        two = d[..., i] + d[..., (i + 1) % 4]
-        three = two + d[..., (i + 2) % 4]
-        ok |= (d[..., i] == 0) & (two <= 1) & (three <= 2) & (three + d[..., (i + 3) % 4] <= BITS)
+    for i in range(segments):
+        ok |= (run[..., i + 1 : i + 1 + segments] - run[..., i, None] <= budget).all(-1)
     return ok
 
 
-def linked(x: np.ndarray) -> np.ndarray:
-    """Whether differences are of at most BITS bits; the ring test prunes first."""
-    near = within_ring(x)
-    near[near] = np.bitwise_count(x[near]) <= BITS
+def linked(x: np.ndarray, bits: int = BITS, segments: int = SEGMENTS) -> np.ndarray:
+    """Whether differences are of at most ``bits`` bits; the ring test prunes first."""
+    near = within_ring(x, bits, segments)
+    near[near] = np.bitwise_count(x[near]) <= bits
     return near
 
 
-def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def near_bits(fp: np.ndarray) -> Near:
+    return lambda i, j: linked(fp[i] ^ fp[j])
+
+
+def near_similar(fp: np.ndarray, sketch: np.ndarray, similarity: float) -> Near:
+    """Ring test and full count within WIDE_BITS, then the similarity that the sketches tell."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        i, j = np.broadcast_arrays(i, j)
+        ok = linked(fp[i] ^ fp[j], WIDE_BITS, WIDE_SEGMENTS)
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), 4096):
+            part = at[k : k + 4096]
+            x, y = sketch[i[part]], sketch[j[part]]
+            ok[part] = ((x == y) & (x > 0)).sum(1) >= similarity * ((x | y) > 0).sum(1)
+        return ok
+
+    return near
+
+
+def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near | None = None, roots: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that connect all near fingerprints within each run of equal keys.
 
     Small groups give each near pair; a large one gives a spanning forest: every
     member is compared once with those not yet reached, so n members give fewer
-    than n links however many pairs are near.
+    than n links however many pairs are near. ``roots`` takes the place of one
+    member of each tree, and of each member of a small group.
     """
+    near = near or near_bits(fp)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(key)))
     a, b = [], []
     small = np.repeat(size <= SMALL, size)
+    if roots is not None:
+        roots.append(np.flatnonzero(small))
     for d in range(1, SMALL):
         at = np.flatnonzero(small[:-d] & (key[d:] == key[:-d])) if len(key) > d else []
         if not len(at):
             break
-        at = at[linked(fp[at] ^ fp[at + d])]
+        at = at[near(at, at + d)]
         a.append(rep[at])
         b.append(rep[at + d])
     for e, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
@@ -103,38 +149,42 @@ def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list[
         while len(left) or ends:
             if not ends:
                 ends.append(left[0])
+                if roots is not None:
+                    roots.append(left[:1])
                 left = left[1:]
             at = ends.pop()
-            near = linked(fp[left] ^ fp[at])
-            met = left[near]
+            close = near(left, at)
+            met = left[close]
             if len(met):
                 a.append(np.full(len(met), rep[at]))
                 b.append(rep[met])
                 ends += met.tolist()
-                left = left[~near]
+                left = left[~close]
     return a, b
 
 
+def whole_groups(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Arrays, sorted by the first one (the key), cut anew so that no group is divided."""
+    held: list[np.ndarray] = []
+    for new in parts:
+        held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
+        key = held[0]
+        if len(key) and key[0] != key[-1]:
+            cutoff = int(np.searchsorted(key, key[-1]))  # keys ascend
+            yield [x[:cutoff] for x in held]
+            held = [x[cutoff:] for x in held]
+    if held:
+        yield held
+
+
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``group_links`` over rows sorted by key; a group may span batches."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-
-    def out(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts = ([x.column("key").to_numpy(), x.column("fp").to_numpy().view(np.uint64), x.column("rep").to_numpy()] for x in batches)
+    for key, fp, rep in whole_groups(parts):
         a, b = group_links(key, fp, rep)
         if a and sum(map(len, a)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    for x in batches:
-        new = [x.column("key").to_numpy(), x.column("fp").to_numpy().view(np.uint64), x.column("rep").to_numpy()]
-        key, fp, rep = (np.concatenate(p) for p in zip(held, new, strict=True))
-        if len(key) and len(held[0]) < 4 * len(new[0]) or key[0] != key[-1]:
-            cutoff = int(np.searchsorted(key, key[-1]))  # keys ascend
-            yield from out(key[:cutoff], fp[:cutoff], rep[:cutoff])
-            held = [key[cutoff:], fp[cutoff:], rep[cutoff:]]
-        else:
-            held = [key, fp, rep]
-    yield from out(*held)
-
 
 def first_masks() -> list[int]:
     """The bits of the 8 keys: a segment of 16 bits and one half of the next one."""
@@ -213,13 +263,125 @@ def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     return fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
+    """A text's SimHash, a hash of its set of shingles, its band keys and its sketch.
+
+    A band key is a hash of ROWS_OF_BAND least values of the shingles' hashes under
+    as many multiplications; a slot of the sketch is one byte (1 to 255; 0: none) of
+    the least hash among those that fall in it. No words: no band keys.
+    """
+    hs = shingle_hashes(text, shingle)
+    u = np.unique(hs)
+    sketch = np.zeros(SLOTS, np.uint8)
+    slot, first = np.unique(u % np.uint64(SLOTS), return_index=True)  # u ascends, so the first is the least
+    sketch[slot.astype(np.int64)] = (u[first] // np.uint64(SLOTS)) % np.uint64(255) + np.uint64(1)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS_OF_BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), ALL, np.uint64)
+    for i in range(0, len(u), 4096):
+        v = u[i : i + 4096]
+        np.minimum(least, (factors * (v ^ (v >> np.uint64(32)))).min(1), out=least)
+    rows = least.reshape(BANDS, ROWS_OF_BAND)
+    bands = [xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)] if len(u) else []
+    return simhash_of(hs), xxhash.xxh64_intdigest(u.tobytes(), SEED), bands, sketch.tobytes()
+
+
+def profiles(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [profile(t, shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array(signed([r[1] for r in rows]), pa.int64()),
+                    pa.array([signed(r[2]) for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.binary()),
+                ],
+                ["doc_id", "fp", "same", "bands", "sketch"],
+            )
+
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long, same long, bands array<long>, sketch binary")
+
+
+def similar_cells(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``a, b`` of the links within each cell; roots of divided groups as ``a, key, mask``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[list[np.ndarray]]:
+            for x in batches:
+                sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
+                yield [*(x.column(c).to_numpy() for c in ("cell", "key", "up", "rep")), x.column("fp").to_numpy().view(np.uint64), sketch]
+
+        for cell, key, up, rep, fp, sketch in whole_groups(parts()):
+            tops: list[np.ndarray] = []
+            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in group_links(cell, fp, rep, near_similar(fp, sketch, similarity), tops))
+            top = np.concatenate(tops) if tops else np.zeros(0, np.int64)
+            top = top[up[top] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ((a, rep[top]), (b, rep[top]), (0 * a, key[top]), (0 * a, up[top]))], ["a", "b", "key", "mask"])
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between similar ``rep, fp, bands, sketch``; candidates share a band key.
+
+    A key's group is dealt over cells of about MOST members. Where a group has
+    more than one cell, one root of each tree goes on to the next round, dealt by
+    its key together with each band not yet in it (``mask``), until a cell holds
+    all of a group: no task holds a large group, a large group of near copies
+    shrinks by its cells in a round, and one of unlike texts is divided by the
+    finer keys. Similar members of different cells are linked through the roots
+    of their trees, or through another band. The rounds end when bands do.
+    """
+    band = nodes.select("rep", F.posexplode("bands").alias("at", "band"))
+    bit = F.expr("shiftleft(1L, at)")
+    rows = band.select("rep", F.col("band").alias("key"), bit.alias("mask"))
+    found = None
+    for _ in range(BANDS):
+        size = rows.groupBy("key", "mask").agg(F.count("*").alias("n")).filter("n > 1")
+        dealt = rows.join(size, ["key", "mask"]).withColumn("up", F.when(F.col("n") > MOST, F.col("mask")).otherwise(0).cast("long"))
+        part = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / MOST))
+        cells = dealt.select(F.xxhash64("key", "mask", part).alias("cell"), "key", "up", "rep").join(nodes.select("rep", "fp", "sketch"), "rep")
+        done = cut(cells.repartition("cell").sortWithinPartitions("cell", "fp", "rep").mapInArrow(similar_cells(similarity), "a long, b long, key long, mask long"))
+        pairs = done.filter("mask = 0").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        roots = done.filter("mask > 0").select(F.col("a").alias("rep"), "key", "mask")
+        if roots.isEmpty():
+            break
+        finer_rows = roots.join(band, "rep").filter(F.col("mask").bitwiseAND(bit) == 0)
+        rows = finer_rows.select("rep", F.col("key").bitwiseXOR(F.col("band")).alias("key"), F.col("mask").bitwiseOR(bit).alias("mask")).distinct()
+    return found
+
+
+def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id``: texts link whose sets of word shingles have this Jaccard similarity or more.
+
+    Fingerprints of such texts differ in about 10 of 64 bits, too many for any key
+    of their bits. Min-wise band keys give the candidates; the ring test prunes
+    them before the full count within WIDE_BITS; the sketch of 256 slots then gives
+    the similarity, with a deviation of 0.025 at 0.8 (less on short texts). Texts
+    of equal sets are one node. Rows of nulls and awkward texts are treated as in
+    ``near_duplicates``; texts without words are equal to each other.
+    """
+    found = written(profiles(df, shingle, id_col, text_col), "profiles")
+    nodes = found.groupBy("same", "fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes, "nodes")
+    parts = components(similar_links(nodes.filter("rep is not null"), similarity))
+    groups = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("same").alias("_same"), F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    return found.join(groups, (found["same"] == groups["_same"]) & (found["fp"] == groups["_fp"])).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The documents, with all their columns, but one of each component: its smallest id.
 
-    Rows with a null id stay; of rows that repeat an id one stays, the one whose
-    text sorts first.
+    Components are those of ``near_duplicates``, or with a ``similarity`` those of
+    ``similar_documents``. Rows with a null id stay; of rows that repeat an id one
+    stays, the one whose text sorts first.
     """
-    spare = near_duplicates(docs, shingle, id_col, text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct()
+    found = near_duplicates(docs, shingle, id_col, text_col) if similarity is None else similar_documents(docs, shingle, similarity, id_col, text_col)
+    spare = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct()
     kept = docs.join(spare, docs[id_col].cast("long") == spare["_spare"], "left_anti")
     return one_of_each(kept, id_col, text_col)
 

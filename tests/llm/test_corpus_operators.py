@@ -144,6 +144,45 @@ def test_near_links_by_finer_keys(spark, monkeypatch, most):
     assert all(got.get(i, i) == top(i) for i in range(len(fps)))
 
 
+@pytest.mark.parametrize("most", [40, 4096])
+def test_similar_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    r = random.Random(11)
+    names = [f"w{k}" for k in range(3000)]
+    rows = []
+    for size, copies in ((30, 5), (200, 70), (800, 6), (150, 3)):
+        base = r.choices(names, k=size)
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(r.choice([0, 1, size // 60, size // 40, size // 15])):
+                text[r.randrange(size)] = r.choice(names)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(900, None), (901, ""), (902, "w1"), (903, "W1 "), (None, rows[0][1]), (904, "w " * 30_000), (904, "w " * 10)]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    like = lambda x, y: len(x & y) / max(1, len(x | y))
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(make(spark, rows)).collect()}
+    assert set(got) == set(sets) and got[None] == got[0]
+    ids = [i for i in sets if i is not None]
+    sure = 0
+    for i in ids:
+        for j in ids:
+            best = max(like(x, y) for x in sets[i] for y in sets[j])
+            if best >= 0.87:
+                assert got[i] == got[j]
+                sure += i < j
+    assert sure > 50 and (got[903], got[901], got[904]) == (902, 900, 904)
+    # no document joins a group without a neighbour that is near to similar
+    for i in ids:
+        mates = [j for j in ids if j != i and got[j] == got[i]]
+        assert not mates or max(like(x, y) for j in mates for x in sets[i] for y in sets[j]) > 0.7
+    kept = simhash.drop_near_duplicates(make(spark, rows), 5, similarity=0.8).collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(set(got.values()))
+    assert simhash.similar_documents(make(spark, [])).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())

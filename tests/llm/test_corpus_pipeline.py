@@ -21,7 +21,7 @@ def test_stages_follow_their_operators(spark):
     want = {r.doc_id: r.k for r in lines.line_dedup(one).select("doc_id", F.col("_lines.kept").alias("k")).collect()}
     assert {r.doc_id: r.text for r in two.collect()} == want
     three = stages["near_dedup"](spark, two, SF).cache()
-    assert {r.doc_id for r in three.collect()} == {r.component_id for r in simhash.near_duplicates(two).collect()}
+    assert {r.doc_id for r in three.collect()} == {r.component_id for r in simhash.similar_documents(two).collect()}
     four = stages["decontamination"](spark, three, SF).cache()
     bad = {r.doc_id for r in decontam.contaminated(three, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in four.collect()} == {r.doc_id for r in three.collect()} - bad
