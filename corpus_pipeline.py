@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of smallest id, of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, of smallest id, of each group of texts whose 5-word shingles are similar to 0.8."""
+    return simhash.drop_near_duplicates(docs, 5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
