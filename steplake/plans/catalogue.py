@@ -388,3 +388,53 @@ def ndjson_ingest(t):
     lines = t("events").select(F.when(F.col("event_id") % 10 == 0, "{bad").otherwise(good).alias("value"))
     rows = sessions.parsed_lines(lines)
     return rows.agg(F.count(F.when(F.col("error").isNull(), 1)).alias("processed"), F.count("error").alias("errors"))
+
+
+# Further lookups and lists
+
+
+@query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) AS micros FROM events")
+def elapsed_micros(t):
+    from pyspark.sql import Window as W
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return t("events").select("event_id", (micros - F.lag(micros).over(W.partitionBy("user_id").orderBy("event_id"))).alias("micros"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, 0.5) AS x, coalesce(l.toxic, 0.5) AS y FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM labels) l USING (doc_id)")
+def place_or_default(t):
+    have = t("labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double")).distinct()
+    return t("documents").select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0.5)).alias("x"), F.coalesce("toxic", F.lit(0.5)).alias("y"))
+
+
+@query("SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def page_concat(t):
+    return formatting.listed(t("conversations"), "conv_id", "turn", F.trim("text"), "text")
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY lower(c_name), c_custkey) AS pos FROM customer")
+def sorted_by_lower_name(t):
+    from pyspark.sql import Window as W
+
+    return t("customer").select("c_custkey", F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.lower("c_name"), "c_custkey")).cast("long").alias("pos"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN role ELSE 'none' END AS analysis FROM conversations")
+def first_filled(t):
+    c = F.col("turn") % 3
+    return t("conversations").select("conv_id", "turn", J.first_text(F.when(c == 0, F.col("text")), F.when(c == 1, F.col("role")).otherwise(""), F.lit("none")).alias("analysis"))
+
+
+@query("SELECT page_id, regexp_replace(list_extract(string_split(url, '/'), -1), '(.)\\.[^.]*$', '\\1') AS stem FROM pages")
+def path_stem(t):
+    return t("pages").select("page_id", T.stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT doc_id, replace(replace('a ' || chr(92) || '(' || lang || chr(92) || ')', chr(92) || '(', chr(92) || chr(92) || '('), chr(92) || ')', chr(92) || chr(92) || ')') AS repaired FROM documents")
+def latex_repair(t):
+    return t("documents").select("doc_id", T.doubled_parens(F.concat(F.lit("a \\("), "lang", F.lit("\\)"))).alias("repaired"))
+
+
+@query("SELECT event_id, event_type LIKE '%w%' OR event_type LIKE '%a%' OR event_type LIKE '%+%' AS blocked FROM events")
+def write_mode_guard(t):
+    return t("events").select("event_id", J.blocked_mode(F.col("event_type")).alias("blocked"))
