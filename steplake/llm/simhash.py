@@ -30,11 +30,15 @@ ALL = (1 << 64) - 1
 WIDE_BITS = 24
 WIDE_SEGMENTS = 8
 #: A similar pair is missed if none of BANDS keys of ROWS_OF_BAND least hashes is equal:
-#: (1 - 0.8 ** 4) ** 10, at most 0.6 %.
-BANDS = 10
+#: (1 - 0.8 ** 4) ** 20, at most one pair in 37,000.
+BANDS = 20
 ROWS_OF_BAND = 4
 #: Slots of the sketch; its estimate of a similarity of 0.8 has a deviation of 0.025.
+#: Candidates are dropped only at MARGIN (five deviations) below the similarity.
 SLOTS = 256
+MARGIN = 0.125
+#: Hashes in a cell of a group (8 bytes each).
+MOST_HASHES = 1 << 21
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -106,8 +110,12 @@ def near_bits(fp: np.ndarray) -> Near:
     return lambda i, j: linked(fp[i] ^ fp[j])
 
 
-def near_similar(fp: np.ndarray, sketch: np.ndarray, similarity: float) -> Near:
-    """Ring test and full count within WIDE_BITS, then the similarity that the sketches tell."""
+def near_similar(fp: np.ndarray, sketch: np.ndarray, similarity: float, sets: np.ndarray | None = None) -> Near:
+    """Ring test and full count within WIDE_BITS, then the similarity that the sketches tell, less MARGIN.
+
+    With ``sets`` (bytes of sorted distinct shingle hashes), pairs that pass are
+    decided by their exact Jaccard similarity.
+    """
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         i, j = np.broadcast_arrays(i, j)
@@ -116,27 +124,39 @@ def near_similar(fp: np.ndarray, sketch: np.ndarray, similarity: float) -> Near:
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096]
             x, y = sketch[i[part]], sketch[j[part]]
-            ok[part] = ((x == y) & (x > 0)).sum(1) >= similarity * ((x | y) > 0).sum(1)
+            ok[part] = ((x == y) & (x > 0)).sum(1) >= (similarity - MARGIN) * ((x | y) > 0).sum(1)
+        if sets is not None:
+            for k in np.flatnonzero(ok).tolist():
+                ok[k] = jaccard_reaches(sets[i[k]], sets[j[k]], similarity)
         return ok
 
     return near
 
 
-def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near | None = None, roots: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def jaccard_reaches(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sets, bytes of sorted distinct hashes, have this Jaccard similarity or more."""
+    least, most = sorted((len(x), len(y)))
+    if least < similarity * most - 1e-6:
+        return False
+    both = np.frombuffer(x + y, np.uint64).copy()
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near | None = None, comp: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that connect all near fingerprints within each run of equal keys.
 
     Small groups give each near pair; a large one gives a spanning forest: every
     member is compared once with those not yet reached, so n members give fewer
-    than n links however many pairs are near. ``roots`` takes the place of one
-    member of each tree, and of each member of a small group.
+    than n links however many pairs are near. Members of one ``comp`` are connected
+    already and aren't compared in large groups.
     """
     near = near or near_bits(fp)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(key)))
     a, b = [], []
     small = np.repeat(size <= SMALL, size)
-    if roots is not None:
-        roots.append(np.flatnonzero(small))
     for d in range(1, SMALL):
         at = np.flatnonzero(small[:-d] & (key[d:] == key[:-d])) if len(key) > d else []
         if not len(at):
@@ -149,16 +169,20 @@ def group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near | N
         while len(left) or ends:
             if not ends:
                 ends.append(left[0])
-                if roots is not None:
-                    roots.append(left[:1])
                 left = left[1:]
+                if comp is not None:
+                    mates = comp[left] == comp[ends[0]]
+                    ends += left[mates].tolist()
+                    left = left[~mates]
             at = ends.pop()
             close = near(left, at)
             met = left[close]
             if len(met):
                 a.append(np.full(len(met), rep[at]))
                 b.append(rep[met])
-                ends += met.tolist()
+                if comp is not None:
+                    close |= np.isin(comp[left], comp[met])
+                ends += left[close].tolist()
                 left = left[~close]
     return a, b
 
@@ -264,14 +288,13 @@ def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
 
 
 def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
-    """A text's SimHash, a hash of its set of shingles, its band keys and its sketch.
+    """The SimHash of a text's set of shingles, a hash of the set, its band keys and its sketch.
 
     A band key is a hash of ROWS_OF_BAND least values of the shingles' hashes under
     as many multiplications; a slot of the sketch is one byte (1 to 255; 0: none) of
     the least hash among those that fall in it. No words: no band keys.
     """
-    hs = shingle_hashes(text, shingle)
-    u = np.unique(hs)
+    u = np.unique(shingle_hashes(text, shingle))
     sketch = np.zeros(SLOTS, np.uint8)
     slot, first = np.unique(u % np.uint64(SLOTS), return_index=True)  # u ascends, so the first is the least
     sketch[slot.astype(np.int64)] = (u[first] // np.uint64(SLOTS)) % np.uint64(255) + np.uint64(1)
@@ -282,7 +305,7 @@ def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
         np.minimum(least, (factors * (v ^ (v >> np.uint64(32)))).min(1), out=least)
     rows = least.reshape(BANDS, ROWS_OF_BAND)
     bands = [xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)] if len(u) else []
-    return simhash_of(hs), xxhash.xxh64_intdigest(u.tobytes(), SEED), bands, sketch.tobytes()
+    return simhash_of(np.sort(shingle_hashes(text, shingle))), xxhash.xxh64_intdigest(u.tobytes(), SEED), bands, sketch.tobytes()
 
 
 def profiles(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -305,72 +328,105 @@ def profiles(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long, same long, bands array<long>, sketch binary")
 
 
-def similar_cells(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``a, b`` of the links within each cell; roots of divided groups as ``a, key, mask``."""
+def similar_cells(similarity: float, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``a, b``: links that connect the similar members of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[list[np.ndarray]]:
             for x in batches:
                 sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
-                yield [*(x.column(c).to_numpy() for c in ("cell", "key", "up", "rep")), x.column("fp").to_numpy().view(np.uint64), sketch]
+                sets = np.empty(len(sketch), object)
+                if exact:
+                    sets[:] = x.column("hashes").to_pylist()
+                yield [*(x.column(c).to_numpy() for c in ("cell", "comp", "rep")), x.column("fp").to_numpy().view(np.uint64), sketch, sets]
 
-        for cell, key, up, rep, fp, sketch in whole_groups(parts()):
-            tops: list[np.ndarray] = []
-            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in group_links(cell, fp, rep, near_similar(fp, sketch, similarity), tops))
-            top = np.concatenate(tops) if tops else np.zeros(0, np.int64)
-            top = top[up[top] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ((a, rep[top]), (b, rep[top]), (0 * a, key[top]), (0 * a, up[top]))], ["a", "b", "key", "mask"])
+        for cell, comp, rep, fp, sketch, sets in whole_groups(parts()):
+            a, b = group_links(cell, fp, rep, near_similar(fp, sketch, similarity, sets if exact else None), comp)
+            if a and sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
 
     return run
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: links between similar ``rep, fp, bands, sketch``; candidates share a band key.
+def group_similar(members: DataFrame, data: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """``a, b``: links that connect all similar members of each group of ``key, rep, n``.
 
-    A key's group is dealt over cells of about MOST members. Where a group has
-    more than one cell, one root of each tree goes on to the next round, dealt by
-    its key together with each band not yet in it (``mask``), until a cell holds
-    all of a group: no task holds a large group, a large group of near copies
-    shrinks by its cells in a round, and one of unlike texts is divided by the
-    finer keys. Similar members of different cells are linked through the roots
-    of their trees, or through another band. The rounds end when bands do.
+    ``data`` has ``rep, fp, sketch`` and, if ``exact``, ``hashes``. A group of over
+    MOST members, or MOST_HASHES hashes (``n``), is dealt over cells. Members and
+    then one of each component are linked within cells; what that leaves in several
+    components is cut into blocks, and each two blocks meet in a cell, so every two
+    members not yet connected are compared and no task holds a large group.
     """
-    band = nodes.select("rep", F.posexplode("bands").alias("at", "band"))
-    bit = F.expr("shiftleft(1L, at)")
-    rows = band.select("rep", F.col("band").alias("key"), bit.alias("mask"))
-    found = None
-    for _ in range(BANDS):
-        size = rows.groupBy("key", "mask").agg(F.count("*").alias("n")).filter("n > 1")
-        dealt = rows.join(size, ["key", "mask"]).withColumn("up", F.when(F.col("n") > MOST, F.col("mask")).otherwise(0).cast("long"))
-        part = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / MOST))
-        cells = dealt.select(F.xxhash64("key", "mask", part).alias("cell"), "key", "up", "rep").join(nodes.select("rep", "fp", "sketch"), "rep")
-        done = cut(cells.repartition("cell").sortWithinPartitions("cell", "fp", "rep").mapInArrow(similar_cells(similarity), "a long, b long, key long, mask long"))
-        pairs = done.filter("mask = 0").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        roots = done.filter("mask > 0").select(F.col("a").alias("rep"), "key", "mask")
-        if roots.isEmpty():
-            break
-        finer_rows = roots.join(band, "rep").filter(F.col("mask").bitwiseAND(bit) == 0)
-        rows = finer_rows.select("rep", F.col("key").bitwiseXOR(F.col("band")).alias("key"), F.col("mask").bitwiseOR(bit).alias("mask")).distinct()
-    return found
+
+    def cells_of(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter("m > 1")
+        return size.select("key", F.greatest(F.ceil(F.col("m") / MOST), F.ceil(F.col("w") / MOST_HASHES), F.lit(1)).alias("cells"))
+
+    def compare(rows: DataFrame) -> DataFrame:
+        full = rows.select("cell", "comp", "rep").join(data, "rep")
+        return cut(full.repartition("cell").sortWithinPartitions("cell", "fp", "rep").mapInArrow(similar_cells(similarity, exact), "a long, b long"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(cells_of(rows), "key").withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("rep", "key"), "cells")))
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows with their components, of those groups that have more than one."""
+        part = components(found)
+        now = rows.join(part, rows["rep"] == part["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        now = cut(now)
+        return now.join(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "key")
+
+    found = compare(dealt(members).withColumn("comp", F.col("rep")))
+    large = cut(members.join(cells_of(members).filter("cells > 1").select("key"), "key").select("key", "rep", "n").distinct())
+    if large.isEmpty():
+        return found
+    parts = labelled(large, found)
+    roots = parts.groupBy("key", "comp").agg(F.min(F.struct("rep", "n")).alias("r")).select("key", "r.rep", "r.n", "comp")
+    found = found.unionByName(compare(dealt(roots)))
+    parts = labelled(large, found)
+    blocks = parts.join(cells_of(parts).withColumn("cells", 2 * F.col("cells")), "key").withColumn("i", F.pmod(F.xxhash64("rep", "key"), "cells"))
+    met = blocks.withColumn("j", F.explode(F.expr("sequence(0L, cells - 1)"))).filter("i != j")
+    return found.unionByName(compare(met.withColumn("cell", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))))
+
+
+def distinct_hashes(df: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``rep, hashes, n``: sorted distinct shingle hashes of the texts that ``rep, same`` name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
+            same = pa.array(signed([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets]), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("same"), same, pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())], ["rep", "same", "own", "hashes", "n"])
+
+    t = texts(df, id_col, text_col)
+    rows = t.join(wanted, t["doc_id"] == wanted["rep"]).select("rep", "same", "text")
+    return rows.mapInArrow(run, "rep long, same long, own long, hashes binary, n long").filter("same = own").drop("own").dropDuplicates(["rep", "same"])
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: texts link whose sets of word shingles have this Jaccard similarity or more.
 
     Fingerprints of such texts differ in about 10 of 64 bits, too many for any key
-    of their bits. Min-wise band keys give the candidates; the ring test prunes
-    them before the full count within WIDE_BITS; the sketch of 256 slots then gives
-    the similarity, with a deviation of 0.025 at 0.8 (less on short texts). Texts
-    of equal sets are one node. Rows of nulls and awkward texts are treated as in
-    ``near_duplicates``; texts without words are equal to each other.
+    of their bits. Min-wise band keys give the candidates; the ring test, the full
+    count within WIDE_BITS and a sketch with MARGIN prune them. The components of
+    what remains are few and mostly small; within them the exact similarity of the
+    sets decides. Texts of equal sets are one node. Rows of nulls and awkward texts
+    are treated as in ``near_duplicates``; texts without words are equal to each
+    other.
     """
     found = written(profiles(df, shingle, id_col, text_col), "profiles")
-    nodes = found.groupBy("same", "fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    parts = components(similar_links(nodes.filter("rep is not null"), similarity))
-    groups = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("same").alias("_same"), F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(groups, (found["same"] == groups["_same"]) & (found["fp"] == groups["_fp"])).select("doc_id", "fp", "component_id")
+    named = nodes.filter("rep is not null")
+    bands = named.select("rep", F.posexplode("bands").alias("at", "band")).select(F.xxhash64("at", "band").alias("key"), "rep", F.lit(0).cast("long").alias("n"))
+    maybe = components(group_similar(bands, named.select("rep", "fp", "sketch"), similarity, False)).withColumnRenamed("node", "rep")
+    few = cut(named.join(maybe, "rep").select("rep", "same", "fp", "sketch", "component"))
+    sets = distinct_hashes(df, few.select("rep", "same"), shingle, id_col, text_col)
+    data = written(sets.join(few, ["rep", "same"]), "sets")
+    members = data.select(F.col("component").alias("key"), "rep", "n")
+    parts = components(group_similar(members, data.select("rep", "fp", "sketch", "hashes"), similarity, True))
+    groups = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
+    return found.join(groups, found["same"] == groups["_same"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

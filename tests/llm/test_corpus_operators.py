@@ -183,6 +183,22 @@ def test_similar_documents(spark, monkeypatch, most):
     assert simhash.similar_documents(make(spark, [])).count() == 0
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Whole shingle sets of 900 distinct 1-word shingles: Jaccard exactly 0.8 links, a little less doesn't."""
+    rows, want = [], {}
+    for k in range(60):
+        base = [f"a{k}x{i}" for i in range(900)]
+        for other, away in ((1000 + k, 100), (2000 + k, 104)):
+            # 900 - away shared of 900 + away: 800 / 1000 = 0.8, and 796 / 1004 < 0.8
+            name = f"b{other}"
+            rows += [(10_000 * k + other, " ".join(f"{name}{w}" for w in base)), (10_000 * k + other + 5000, " ".join([f"{name}{w}" for w in base[away:]] + [f"{name}y{i}" for i in range(away)]))]
+            want[10_000 * k + other + 5000] = away == 100
+    got = {x.doc_id: x.component_id != x.doc_id for x in simhash.similar_documents(make(spark, rows), 1).collect()}
+    assert not any(got[i] for i, w in want.items() if not w)
+    missed = sum(not got[i] for i, w in want.items() if w)
+    assert not missed  # the band keys miss one pair in 37,000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
