@@ -199,6 +199,26 @@ def test_similar_documents_at_the_threshold(spark):
     assert not missed  # the band keys miss one pair in 37,000
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_lose_no_chain(spark, monkeypatch, seed):
+    """Chains whose neighbours alone are similar, in one hot key and many cells."""
+    monkeypatch.setattr(simhash, "MOST", 30)
+    r = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for chain in range(2):
+        text = [f"c{chain}{w}" for w in base]
+        for k in range(100):
+            rows.append((len(rows), " ".join(text)))
+            for at in r.sample(range(400), 40):
+                text[at] = f"c{chain}n{k}x{at}"
+    nodes = [(i, *simhash.profile(t, 1), np.unique(simhash.shingle_hashes(t, 1)).tobytes()) for i, t in rows]
+    data = spark.createDataFrame([(i, fp, bytearray(sk), bytearray(u)) for i, fp, _, _, sk, u in nodes], "rep long, fp long, sketch binary, hashes binary")
+    members = spark.createDataFrame([(7, i, 400) for i, _ in rows], "key long, rep long, n long")
+    links = simhash.group_similar(members, data, 0.8, True)
+    got = dict(common.components(links).collect())
+    assert got == {i: i // 100 * 100 for i in range(200)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
