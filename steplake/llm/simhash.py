@@ -305,7 +305,7 @@ def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
         np.minimum(least, (factors * (v ^ (v >> np.uint64(32)))).min(1), out=least)
     rows = least.reshape(BANDS, ROWS_OF_BAND)
     bands = [xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)] if len(u) else []
-    return simhash_of(np.sort(shingle_hashes(text, shingle))), xxhash.xxh64_intdigest(u.tobytes(), SEED), bands, sketch.tobytes()
+    return simhash_of(u), xxhash.xxh64_intdigest(u.tobytes(), SEED), bands, sketch.tobytes()
 
 
 def profiles(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:

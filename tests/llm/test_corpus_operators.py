@@ -219,6 +219,15 @@ def test_large_groups_lose_no_chain(spark, monkeypatch, seed):
     assert got == {i: i // 100 * 100 for i in range(200)}
 
 
+def test_similar_documents_ignore_repeats(spark):
+    rows = []
+    for k in range(40):
+        words, line = [f"d{k}w{i}" for i in range(300)], " ".join(f"d{k}l{i}" for i in range(20))
+        rows += [(2 * k, " ".join(words) + (" " + line) * 2), (2 * k + 1, " ".join(words) + (" " + line) * 40)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(make(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
