@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,13 +56,14 @@ class Join:
     def __init__(self, frequency: dict[str, int], templates: tuple[tuple[str, str], ...], threshold: float):
         self.vocab = {w for t, _ in templates for w in t.split()}
         self.order = {w: i for i, w in enumerate(sorted(self.vocab, key=lambda w: (frequency.get(w, 0), w)))}
-        self.rows, self.prefix = [], {}
+        self.rows, self.spans, self.prefix = [], [], {}
         for text, label in templates:
             tokens = sorted({self.order[w] for w in text.split()})
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             for i, w in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.rows), i))
             self.rows.append((tokens, need, label))
+            self.spans.append(math.ceil(len(text.split()) / threshold - 1e-9))
         names = {i: w for w, i in self.order.items()}
         self.rare = {names[i] for i in self.prefix}
 
@@ -85,14 +87,56 @@ class Join:
                     found.append((label, shared / len(tokens)))
         return found
 
+    def windows(self, words: list[str]) -> list[tuple[str, float]]:
+        """Labels and best containment of the templates that some window of words reaches.
+
+        A template's window is its length over the threshold, in words. A window
+        that reaches it has one of its rarest tokens, so only the surroundings of
+        those are slid over.
+        """
+        order = self.order
+        at = [(i, order[w]) for i, w in enumerate(words) if w in order]
+        hits: dict[int, list[int]] = {}
+        for i, w in at:
+            for row, _ in self.prefix.get(w, ()):
+                hits.setdefault(row, []).append(i)
+        found = []
+        for row, places in hits.items():
+            tokens, need, label = self.rows[row]
+            span, own, best, done = self.spans[row], set(tokens), 0, 0
+            for k, q in enumerate(places):
+                if k + 1 < len(places) and places[k + 1] - q < span:
+                    continue  # a run of surroundings ends at its last place
+                a, b = bisect_left(at, (places[done] - span + 1,)), bisect_left(at, (q + span,))
+                done = k + 1
+                inside = [x for x in at[a:b] if x[1] in own]
+                if len(inside) < need:
+                    continue
+                held: Counter[int] = Counter()
+                left = distinct = 0
+                for i, w in inside:
+                    held[w] += 1
+                    distinct += held[w] == 1
+                    while i - inside[left][0] >= span:
+                        gone = inside[left][1]
+                        held[gone] -= 1
+                        distinct -= not held[gone]
+                        left += 1
+                    best = max(best, distinct)
+            if best >= need:
+                found.append((label, best / len(tokens)))
+        return found
+
 
 def license_scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    A block is a line. ``labels`` joins the phrases' labels and those of every
-    template of which a block contains at least ``threshold``; ``score`` is the
-    best containment, 1 where a phrase stands. A first pass counts, over all
-    rows, in how many lines each template word stands (the templates' vocabulary
+    A block is a line, or a window of words over the whole text, line breaks or
+    not, of a template's length over ``threshold``; so wrapped notices are found.
+    ``labels`` joins the phrases' labels and those of every template of which a
+    block contains at least ``threshold``; ``score`` is the best containment, 1
+    where a phrase stands. A first pass counts, over all rows, in how many texts
+    each template word stands (the templates' vocabulary
     bounds what reaches the driver); the second pass is narrow.
 
     A null text counts as empty: 0 words, null places, no labels, score 0. Null
@@ -128,6 +172,8 @@ def license_scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLAT
                         inside = set(WORD.findall(line))
                         if not join.rare.isdisjoint(inside):
                             more += join.block(inside)
+                    if "\n" in low:  # one line holds all its windows
+                        more += join.windows(words)
                 labels = sorted({*base, *(x for x, _ in more)})
                 score = 1.0 if base else max((s for _, s in more), default=0.0)
                 rows.append((len(words), len(places), at[0] if at else None, at[-1] if at else None, ",".join(base), ",".join(labels), score))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -313,6 +314,39 @@ def test_license_join_is_exact():
         assert {x for x, _ in join.block(block)} == want
 
 
+def test_license_windows_are_exact():
+    r = random.Random(9)
+    names = [f"w{k}" for k in range(30)]
+    temps = tuple((" ".join(r.choices(names, k=r.randint(3, 12))), f"t{k}") for k in range(20))
+    join = licenses.Join({w: r.randint(0, 99) for w in names}, temps, 0.8)
+    seen = 0
+    for _ in range(300):
+        words = r.choices(names + ["other"] * 30, k=r.randint(0, 120))
+        if r.random() < 0.5:
+            words[r.randint(0, len(words)) : 0] = r.choice(temps)[0].split()
+        want = {}
+        for text, label in temps:
+            own, size = set(text.split()), -(-len(text.split()) * 5 // 4)
+            best = max((len(own & set(words[i : i + size])) for i in range(len(words))), default=0)
+            if best >= 0.8 * len(own) - 1e-9:
+                want[label] = best / len(own)
+        assert dict(join.windows(words)) == want
+        seen += len(want)
+    assert seen > 100
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    notices = [
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"),
+        ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published"),
+    ]
+    rows = [(k, "\n".join(["int x;", *(" * " + line for line in textwrap.wrap(text, 60)), "int y;"])) for k, (_, text) in enumerate(notices)]
+    got = {r.doc_id: r for r in licenses.license_scan(make(spark, rows)).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == 1.0 for k, (label, _) in enumerate(notices))
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "If Anna buys 3 kg of apples for 5 dollars how many kg of apples can Anna buy for 20 dollars"), (2, "too short"), (3, None)], "item_id long, text string")
     same = "Well. If Bob buys 7 km of apples for 9 euros how many km of apples can Bob buy for 40 euros in all"
