@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 STOP = np.zeros(256, bool)
 STOP[[*b".!?:\n"]] = True
+#: UTF-8 of a character of three or four bytes; mostly scripts without spaces.
+WIDE = re.compile(rb"[\xe0-\xf4][\x80-\xbf]+")
 
 
 def lowered(data: bytes) -> tuple[bytes, np.ndarray]:
@@ -72,12 +75,24 @@ class Tokens:
         plain[number] = NUM
         self.code = np.where(capital[start] & ~opens & (plain > 3), np.uint64(NAME), plain)
         self.plain, self.start, self.end = plain, start, end
+        self.first_capital = bool(len(h)) and bool(capital[start[0]])
         self.inner = ~opens & (plain > 3)  # words whose capital would tell a name
 
     def words(self, a: int, b: int) -> list[bytes]:
         return [self.low[x:y] for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
 
 
+class Raw:
+    """Lower-cased tokens as they stand: no placeholders; a character of three or four bytes is a token."""
+
+    def __init__(self, data: bytes):
+        self.low = WIDE.sub(rb" \g<0> ", lowered(data)[0])
+        h, self.start, self.end = token_hashes(self.low, WORDS)
+        self.code = np.where(h > 3, h, h + np.uint64(4))
+
+    words = Tokens.words
+
+
 def isin(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Membership in a sorted array, by binary search."""
     if not len(keys) or not len(h):
@@ -128,30 +143,48 @@ class Index:
 
 
 class Templates:
-    """A block of benchmark items as canonical tokens, with and without names."""
+    """A block of benchmark items as canonical tokens, with and without names, and as raw tokens."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, span: int):
         self.lists = word_keys(UNITS), word_keys(SHORT_UNITS), word_keys(NUMBER_WORDS)
         self.window, self.items = window, []
+        self.views: dict[str, list[tuple[int, np.ndarray, list[bytes], int]]] = {"code": [], "plain": [], "raw": []}
         for item, text in items:
-            t = Tokens(text.encode("utf-8", "surrogatepass"), *self.lists)
+            data = text.encode("utf-8", "surrogatepass")
+            t, raw = Tokens(data, *self.lists), Raw(data)
+            at = len(self.items)
+            self.items.append((item, t, t.words(0, len(t.code)), len(raw.code)))
             if len(t.code) >= window:
-                self.items.append((item, t, t.words(0, len(t.code)), min(span, len(t.code))))
-        self.typed = Index([t.code for _, t, _, _ in self.items], window)
-        self.plain = Index([t.plain for _, t, _, _ in self.items], window)
+                words, need = self.items[at][2], min(span, len(t.code))
+                self.views["code"].append((at, t.code, words, need))
+                self.views["plain"].append((at, t.plain, words, need))
+                if t.first_capital and t.code[0] > 3:  # within a sentence the first word would be a name
+                    named = t.code.copy()
+                    named[0] = NAME
+                    self.views["code"].append((at, named, words, need))
+            if len(raw.code) >= window:
+                self.views["raw"].append((at, raw.code, raw.words(0, len(raw.code)), min(span, len(raw.code))))
+        self.index = {view: Index([c for _, c, _, _ in rows], window) for view, rows in self.views.items()}
 
     def matches(self, batch: list[str]) -> list[tuple[int, int, int, int]]:
-        """Text number, item, longest consistent run in tokens, tokens of the item."""
+        """Text number, item, longest consistent run in tokens, tokens of the item (raw ones if only raw tokens match)."""
         parts = [t.encode("utf-8", "surrogatepass") for t in batch]
-        ends = np.cumsum([len(p) + 1 for p in parts])
         t = Tokens(b"\n".join(parts), *self.lists)
+        ends = np.cumsum([len(p) + 1 for p in parts])
         best: dict[tuple[int, int], int] = {}
-        for index, c, view in ((self.typed, t.code, "code"), (self.plain, t.plain, "plain")):
-            for doc, item, shift, run in self.runs(t, index, c, view, ends):
+        for view, c in (("code", t.code), ("plain", t.plain)):
+            for doc, item, shift, run in self.runs(t, c, view, ends):
                 if view == "plain" and not self.caseless(t, doc, item, shift, ends):
                     continue
                 best[doc, item] = max(best.get((doc, item), 0), run)
-        return [(doc, self.items[item][0], run, len(self.items[item][2])) for (doc, item), run in best.items()]
+        exact: dict[tuple[int, int], int] = {}
+        raw = Raw(b"\n".join(parts))
+        if len(raw.low) != len(t.low):
+            ends = np.cumsum([len(WIDE.sub(rb" \g<0> ", p)) + 1 for p in parts])
+        for doc, item, _, run in self.runs(raw, raw.code, "raw", ends):
+            exact[doc, item] = max(exact.get((doc, item), 0), run)
+        found = [(doc, self.items[item][0], run, len(self.items[item][2])) for (doc, item), run in best.items()]
+        return found + [(doc, self.items[item][0], run, self.items[item][3]) for (doc, item), run in exact.items() if (doc, item) not in best]
 
     def caseless(self, t: Tokens, doc: int, item: int, shift: int, ends: np.ndarray) -> bool:
         """Whether the words of a text that face an item are all capitalised or none is, so that case tells no names."""
@@ -161,9 +194,9 @@ class Templates:
         named = (t.code[a:b] == NAME)[t.inner[a:b]]
         return bool(named.all() or not named.any())
 
-    def runs(self, t: Tokens, index: Index, c: np.ndarray, view: str, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def runs(self, t: Tokens | Raw, c: np.ndarray, view: str, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Text number, item number, diagonal and length of each consistent run of windows."""
-        k = self.window
+        k, index, rows = self.window, self.index[view], self.views[view]
         at, h = index.hits(c)
         of = np.searchsorted(ends, t.start[at], "right")
         inside = of == np.searchsorted(ends, t.start[at + k - 1], "right")
@@ -171,9 +204,8 @@ class Templates:
         for d, p, x in zip(of[inside].tolist(), at[inside].tolist(), h[inside].tolist(), strict=True):
             for item, i in index.places[x]:
                 found.setdefault((d, item, p - i), []).append(p)
-        for (doc, item, shift), places in found.items():
-            _, it, iwords, need = self.items[item]
-            ic = getattr(it, view)
+        for (doc, row, shift), places in found.items():
+            item, ic, iwords, need = rows[row]
             begin, last = places[0], places[0]
             for p in [*places[1:], None]:
                 if p is not None and p - last <= k:
@@ -205,8 +237,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
     one diagonal form runs; a run of ``span`` tokens (or the whole item, where it
     is shorter) whose canonical tokens are equal and whose slots map one to one
     counts. Where a passage is all in capitals or has none, case tells no names;
-    there names are matched as ordinary words. Items of under ``window`` tokens can't be told from chance and never
-    match. The benchmark goes to the tasks in blocks of ``block`` items (a proven
+    there names are matched as ordinary words. An item's capitalised first word also
+    stands for a name within a sentence. Besides, a run of ``span`` raw lower-cased
+    tokens (or the whole item) counts, whatever its numbers, names and case; there a
+    character of three or four bytes is a token. Items of under ``window`` tokens
+    can't be told from chance and never match. The benchmark goes to the tasks in blocks of ``block`` items (a proven
     bound); a larger benchmark means more passes, never fewer items.
 
     Null texts count as empty, null items are skipped, null ids stay, repeated

@@ -355,6 +355,22 @@ def test_decontamination(spark):
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(make(spark, rows), bench).collect()) == [0, 2, 3, 4]
 
 
+def test_decontamination_of_verbatim_items(spark):
+    items = [
+        (1, "12 + 7 = 19, 30 - 4 = 26, 5 * 8 = 40, 81 / 9 = 9"),
+        (2, "Ask whether Anna Berg, Carl Dorn, Eva Falk, Gus Holm or Ida Jensen met Kurt Lund today"),
+        (3, "Please name the largest lake of this old country"),
+        (4, "請問這個國家最大的湖泊叫什麼名字以及它有多深"),
+        (5, "one of 7 tokens is not enough"),
+        (6, "Anna buys apples and pears at the market"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, "Some text here. " + text + " and so on") for k, text in items]
+    rows += [(13, "He said, Please name the largest lake of this old country"), (14, "前文" + items[3][1] + "後文"), (16, "So, Bob buys apples and pears at the market"), (20, "12 + 7 = 19 and 30 - 4 = 27")]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(make(spark, rows), bench).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (13, 3), (14, 4), (16, 6)]
+
+
 def test_packing(spark):
     rows = [(i, "w " * (i * 37 % 5000)) for i in range(120)] + [(None, None), (7, "a b")]
     df = make(spark, rows)
