@@ -118,6 +118,15 @@ def running_memory(t):
     return t("conversations").select("conv_id", "turn", trajectory.running_memory(F.left("text", F.lit(20)), "conv_id", "turn").alias("memory"))
 
 
+@query("""
+    SELECT conv_id, turn, coalesce(string_agg(nullif(text, ''), chr(10) ORDER BY turn) OVER (
+        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS memory
+    FROM conversations
+""")
+def running_memory_whole(t):
+    return t("conversations").select("conv_id", "turn", trajectory.running_memory(F.col("text"), "conv_id", "turn").alias("memory"))
+
+
 DECIDED = "CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'to_redraft' ELSE 'to_revise' END"
 
 
@@ -235,6 +244,11 @@ def sanitize_name(t):
     return t("documents").select("doc_id", T.sanitized(F.left("text", F.lit(60))).alias("name"))
 
 
+@query(r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}._-]', '_', 'g') AS name FROM documents")
+def sanitize_name_whole(t):
+    return t("documents").select("doc_id", T.sanitized(F.col("text")).alias("name"))
+
+
 @query(r"""
     WITH o AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS l FROM documents)
     SELECT doc_id, CASE WHEN length(l) > 240 THEN left(l, 237) || '...' ELSE l END AS line FROM o
@@ -264,12 +278,23 @@ def template_fill(t):
     return t("conversations").select("conv_id", "turn", T.fill("Task {id} by {who}: {text}", id=F.col("conv_id"), who=F.col("role"), text=F.left("text", F.lit(40))).alias("prompt"))
 
 
+@query("SELECT conv_id, turn, 'Task ' || conv_id || ' by ' || role || ': ' || text AS prompt FROM conversations")
+def template_fill_whole(t):
+    return t("conversations").select("conv_id", "turn", T.fill("Task {id} by {who}: {text}", id=F.col("conv_id"), who=F.col("role"), text=F.col("text")).alias("prompt"))
+
+
 @query(r"SELECT conv_id, turn, regexp_replace(list_extract(string_split('<think>' || left(text, 9) || '</think> ' || left(text, 30), '</think>'), -1), '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def after_think(t):
     x = F.concat(F.lit("<think>"), F.left("text", F.lit(9)), F.lit("</think> "), F.left("text", F.lit(30)))
     return t("conversations").select("conv_id", "turn", T.after_think(x).alias("answer"))
 
 
+@query(r"SELECT conv_id, turn, regexp_replace(list_extract(string_split('<think>' || text || '</think> ' || text, '</think>'), -1), '^\s+|\s+$', '', 'g') AS answer FROM conversations")
+def after_think_whole(t):
+    x = F.concat(F.lit("<think>"), "text", F.lit("</think> "), "text")
+    return t("conversations").select("conv_id", "turn", T.after_think(x).alias("answer"))
+
+
 # JSON and decisions
 
 
@@ -318,6 +343,15 @@ def format_results(t):
     return formatting.numbered(t("conversations"), "conv_id", "turn", body, "results")
 
 
+@query("""
+    SELECT conv_id, string_agg(n || '. ' || role || chr(10) || 'URL: ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS results
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
+""")
+def format_results_whole(t):
+    body = F.concat("role", F.lit("\nURL: "), F.col("turn").cast("string"), F.lit("\n"), "text")
+    return formatting.numbered(t("conversations"), "conv_id", "turn", body, "results")
+
+
 @query("SELECT conv_id, string_agg(n || '. node=' || turn || ' subtask=' || conv_id || ' reward=' || length(text), chr(10) ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
 def fallback_summary(t):
     body = F.format_string("node=%s subtask=%s reward=%s", "turn", "conv_id", F.length("text"))

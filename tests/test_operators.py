@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from steplake.operators import formatting, matching, selection, trajectory
+from steplake.plans import catalogue
 from steplake.sources import files
 from steplake.streaming import sessions
 
@@ -67,3 +68,16 @@ def test_stream_ends_at_terminal_event(spark, tmp_path):
     finally:
         q.stop()
     assert {(r.session_id, r.seq) for r in spark.table("ended").collect()} == {("s", 1), ("s", 2), ("s", 3), ("t", 1)}
+
+
+def test_whole_texts(spark, tmp_path):
+    """The queries over whole texts lose nothing after their first characters."""
+    texts = ["x" * 70 + " a/b\n</think> tail " + "y" * 50, "short", "z" * 100 + "é?*"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: sorted(map(tuple, catalogue.QUERIES[f"{n}_whole"](spark, str(tmp_path)).collect())) for n in ("running_memory", "sanitize_name", "template_fill", "after_think", "format_results")}
+    assert got["running_memory"] == [(1, i, "\n".join(texts[:i])) for i in range(3)]
+    assert got["sanitize_name"] == [(i, "".join(c if c.isalnum() or c in "._-" else "_" for c in t)) for i, t in enumerate(texts)]
+    assert got["template_fill"] == [(1, i, f"Task 1 by user: {t}") for i, t in enumerate(texts)]
+    assert got["after_think"] == [(1, i, t.split("</think>")[-1].strip()) for i, t in enumerate(texts)]
+    assert got["format_results"] == [(1, "\n".join(f"{i + 1}. user\nURL: {i}\n{t}" for i, t in enumerate(texts)))]
