@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that reach a Python worker at once; long texts make large rows.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker looks at together. Spark bounds the batches
+#: it sends by bytes itself (spark.sql.execution.arrow.maxBytesPerBatch).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,42 +29,100 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a worker's memory is bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut to BATCH_ROWS rows and BATCH_BYTES of a text column; one row may be longer."""
+    for b in batches:
+        ends = [0, *pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).cumsum(dtype="int64").tolist()]
+        at = 0
+        while at < b.num_rows:
+            upto = at + 1
+            while upto < b.num_rows and upto - at < BATCH_ROWS and ends[upto + 1] - ends[at] <= BATCH_BYTES:
+                upto += 1
+            yield b.slice(at, upto - at)
+            at = upto
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test, local mode) gets one of its own.
+    Only a session in local mode without that setting gets one of its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        if held.isDefined():
+            named = held.get()
+        elif sc.master.split("[")[0] == "local":
+            named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Of each open ``scratch``, innermost last, what was made inside: paths, and tables as (path, name).
+_made: list[list[tuple[str, str | None]]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At the end deletes all that ``cut``, ``written`` and ``stored`` made inside.
+
+    A result that is still to be read goes through ``lasting`` first.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path, name in _made.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def noted(path: str, name: str | None = None, outer: bool = False) -> None:
+    open_ = _made[:-1] if outer else _made
+    if open_:
+        open_[-1].append((path, name))
+
+
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """Cut the lineage of a small table by a reliable checkpoint."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        noted(file.get(), outer=outer)
+    return out
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` once computed, so that they outlive the ``scratch`` around (but not the one around that)."""
+    return cut(df, outer=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    noted(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str, parts: int, by: str) -> DataFrame:
+    """Write a table in the shared folder, bucketed, so that joins by that column don't move it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    noted(path, table)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, by).saveAsTable(table)
+    return spark.table(table)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import pieces, texts
 from .ragged import CLASS, token_hashes
 
 #: Number words and units of measure (fixed values). Short units count after a number only.
@@ -248,7 +248,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
     rows each give rows, empty tables give an empty one, other columns are
     ignored, and texts are searched whole.
     """
-    small_batches(docs.sparkSession)
     t = texts(docs, id_col, text_col)
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text")).dropna()
     ordered = items.distinct().orderBy("item_id", "text").toLocalIterator()

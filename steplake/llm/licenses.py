@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import pieces, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -143,7 +143,6 @@ def license_scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLAT
     ids stay, repeated rows are each scanned, an empty table gives an empty one,
     other columns are ignored, texts are scanned whole.
     """
-    small_batches(df.sparkSession)
     t = texts(df, id_col, text_col)
     vocab = {w for x, _ in templates for w in x.split()}
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import pieces, texts
 
 #: Kinds of spans, in the order of output; label 0 of the field is "none".
 KINDS = ("email", "ip", "card", "phone")
@@ -299,11 +299,10 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids stay, repeated rows are each searched, an empty table gives an empty
     one, other columns are ignored, and texts are searched whole.
     """
-    small_batches(df.sparkSession)
     field = Field(labelled_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ts = b.column("text").to_pylist()
             base = [base_spans(t) if CUE.search(t) else [[], [], [], []] for t in ts]
             more = added_spans(field, ts, base)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import pieces, texts
 from .ragged import token_hashes
 
 BITS = 18
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl(), []
-        for b in batches:
+        for b in pieces(batches):
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 seen.append((*sparse(grams([t])[0]), y))
         for _ in range(passes):
@@ -117,13 +117,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     holds one batch and one 2 MB weight vector.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     t = texts(docs, id_col, text_col)
     weights = spark.sparkContext.broadcast(fit(t, labels, most_rows=most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for b in batches:
+        for b in pieces(batches):
             ts = b.column("text").to_pylist()
             got = np.concatenate([*(scores(ts[i : i + 100], w) for i in range(0, len(ts), 100)), np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(got)], ["doc_id", "held_out", "score"])

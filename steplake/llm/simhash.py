@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, texts, written
+from .common import components, cut, pieces, texts, written
 
 SEED = 42
 SEGMENTS = 4
@@ -72,10 +72,8 @@ def simhash_of(hs: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (long) of each row: lower-cased A-Z, words, ``shingle``-word shingles, XXH64."""
-    small_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
@@ -309,10 +307,8 @@ def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
 
 
 def profiles(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    small_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = [profile(t, shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -393,7 +389,7 @@ def distinct_hashes(df: DataFrame, wanted: DataFrame, shingle: int, id_col: str,
     """``rep, hashes, n``: sorted distinct shingle hashes of the texts that ``rep, same`` name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
             same = pa.array(signed([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets]), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("same"), same, pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())], ["rep", "same", "own", "hashes", "n"])

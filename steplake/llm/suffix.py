@@ -1,26 +1,32 @@
 """Removal of passages that an earlier document has: suffix arrays of text shards.
 
-Which byte strings of 50 bytes also start in a document with a smaller id is
-settled in three rounds, each a pass over stored shards and an exchange of
-small numpy arrays:
-
-1. Every 50-byte string has a minimum among the hashes of its 24-byte parts. A
-   value that one shard alone has can't belong to a shared string.
-2. Neighbouring strings with one minimum form a run. Of the runs with a shared
-   minimum, hashes of the whole content tell most: an equal run in a smaller
-   document removes all of it, and a minimum with one content only needs no more.
-3. What is left (contents that share a minimum but differ) goes to a task for
-   its range of minima. There each part's suffix array (Larsson-Sadakane
-   refinement) and common prefixes (Kasai) give its distinct strings in order,
-   and parts are merged by binary search.
-
-A string's minimum is a function of the string, so equal strings always meet.
+Documents lie in shards of 4 MB, shards in units, units in a table that is stored
+once. Which byte strings of 50 bytes also start in a document with a smaller id is
+settled in three passes over the units:
+
+1. Every 50-byte string has a minimum among the hashes of its 24-byte parts.
+   Equal strings have equal minima, so a value that one document alone has can't
+   belong to a shared string. Units tell ranges of values which values they have,
+   ranges tell units which are shared.
+2. The text of each shard's strings with a shared minimum gets a suffix array
+   (Larsson-Sadakane refinement) and common prefixes (Kasai): they number the
+   shard's distinct strings and settle all that its own documents share. Of each
+   distinct string the first place in the smallest document goes, in the order of
+   the array, to a task for its range of minima. There the sorted lists of all
+   shards are cut at sampled strings by binary search, the cuts merged, and equal
+   neighbours, compared byte by byte, give each string's smallest document.
+3. Units take the bits that come back and cut their documents.
+
+Hashes only choose what is compared and where; bytes decide. Units and ranges grow
+with the square root of the input, so that what one unit tells one range stays a
+list of many values. A value with very many places is dealt string by string, by a
+hash of all 50 bytes, over all ranges.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts, written
+from .common import lasting, pieces, scratch, stored, texts, written
 
 #: Length of the strings, of their hashed parts, and hashes in a string.
 LENGTH, PART = 50, 24
 WIDTH = LENGTH - PART + 1
-#: Bytes of text in a stored shard (one document may be longer), and for each range of minima.
-SHARD, RANGE = 4 << 20, 4 << 20
-#: Bytes of text that get a suffix array at once.
-ARRAY = 1 << 20
+#: Bytes of text that get a suffix array at once (one document may be longer), and least bytes for a range of minima.
+SHARD, RANGE = 4 << 20, 1 << 20
+#: A unit has the square root of total * SPREAD bytes, MOST_UNIT at most: 5.7 MB of 0.5 GB, 256 MB of 1 TB and more.
+SPREAD, MOST_UNIT, MOST_RANGE = 1 << 16, 256 << 20, 32 << 20
+#: A value with more places than this is dealt string by string.
+HOT = 4096
+#: Strings merged at once, and bytes of segments put together at once.
+PIECE, CHUNK = 1 << 16, 8 << 20
 BLOCK = 1 << 15
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-ODD = np.uint64(0x5851F42D4C957F2D)
-INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 LAST = np.iinfo(np.int64).max
 
 
@@ -74,30 +82,31 @@ def minima(data: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Runs of one shard: neighbouring strings of a document with one minimum."""
-
-    def __init__(self, ids: bytes, sizes: bytes, data: bytes):
-        self.ids, self.size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-        self.data = np.frombuffer(data, np.uint8)
-        ends = np.cumsum(self.size)
-        self.first = ends - self.size
-        m = minima(self.data)
+    """Runs of one shard: neighbouring strings of a document with one minimum.
+
+    ``base`` is the place of the shard's text in its unit.
+    """
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, data: np.ndarray, base: int):
+        self.ids, self.size, self.data, self.base = ids, size, data, base
+        ends = np.cumsum(size)
+        self.first = ends - size
+        m = minima(data)
         change = np.ones(len(m), bool)
         change[1:] = m[1:] != m[:-1]
-        inside = np.zeros(len(self.data) + 1, np.int8)
-        long = self.size >= LENGTH
+        inside = np.zeros(len(data) + 1, np.int32)
+        long = size >= LENGTH
         np.add.at(inside, self.first[long], 1)
         np.add.at(inside, ends[long] - LENGTH + 1, -1)
-        inside = np.cumsum(inside, dtype=np.int8)[: len(m)] > 0  # the string ends within its document
+        inside = np.cumsum(inside)[: len(m)] > 0  # the string ends within its document
         change[self.first[long]] = True
         start = np.flatnonzero(change & inside)
         bound = np.flatnonzero(change | ~inside) if len(m) else np.zeros(0, np.int64)
         nxt = np.searchsorted(bound, start, "right")
         stop = np.append(bound, len(m))[nxt] if len(start) else start
         self.start, self.count, self.m = start, stop - start, m[start]
-        self.doc = self.ids[np.searchsorted(ends, start, "right")]
-        self.order = np.argsort(self.m, kind="stable")
-        self.values, self.which = np.unique(self.m, return_inverse=True)
+        self.doc = ids[np.searchsorted(ends, start, "right")]
+        self.values, self.which, self.places = np.unique(self.m, return_inverse=True, return_counts=True)
 
     def several(self) -> np.ndarray:
         """Of each value whether runs of two documents have it."""
@@ -107,34 +116,87 @@ class Shard:
         np.maximum.at(high, self.which, self.doc)
         return low < high
 
-    def contents(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the whole bytes of some runs, by prefix sums."""
-        n = len(self.data)
-        up, down = np.full(n + 1, ODD, np.uint64), np.full(n + 1, INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(down, out=down)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data + np.uint64(1)) * up[:-1], out=run[1:])
-        a, n = self.start[at], self.count[at] + LENGTH - 1
-        h = (run[a + n] - run[a]) * down[a] * M1  # as if each run began at place 0
-        return (h ^ (h >> np.uint64(31))) + n.astype(np.uint64) * M2
-
-    def keys(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The runs with a shared value, the place of each in the list of distinct
-        (value, content) pairs, and of that list value, content and smallest document."""
-        at = np.flatnonzero(shared[self.which])
-        m, r, d = self.m[at], self.contents(at), self.doc[at]
-        o = np.lexsort((d, r, m))
-        at, m, r, d = at[o], m[o], r[o], d[o]
-        new = np.ones(len(at), bool)
-        new[1:] = (m[1:] != m[:-1]) | (r[1:] != r[:-1])
-        return at, np.cumsum(new) - 1, m[new], r[new], d[new]
-
-    def segments(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of some runs, joined, and their lengths."""
-        n = self.count[at] + LENGTH - 1
-        return self.data[ranges(self.start[at], n)], n
+    def settle(self, shared: np.ndarray, hot: np.ndarray, buckets: int) -> "Settled":
+        """Suffix array and common prefixes over the text of all strings with a value
+        that is ``shared`` (by value, with other shards) or that two documents here have."""
+        on = shared | self.several()
+        at = np.flatnonzero(on[self.which])
+        starts = ranges(self.start[at], self.count[at])
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(edge, self.start[at], 1)
+        np.add.at(edge, self.start[at] + self.count[at] + LENGTH - 1, -1)
+        back = np.flatnonzero(np.cumsum(edge) > 0)  # places of the text that is sorted
+        text = self.data[back]
+        begin = np.searchsorted(back, starts)
+        of = np.empty(len(text), np.int32)  # run of each start
+        of[begin] = np.repeat(at, self.count[at])
+        sa = suffix_array(text, begin)
+        new = common_prefixes(text, sa) < LENGTH
+        new[:1] = True
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        place, run = back[sa], of[sa]
+        doc = self.doc[run]
+        own = np.minimum.reduceat(doc, head) if len(head) else doc[:0]
+        mine = doc == own[group]
+        rep = np.minimum.reduceat(np.where(mine, place, LAST), head) if len(head) else place[:0]
+        told = shared[self.which[run[head]]]
+        boiling = hot[self.which[run[head]]]
+        number = np.full(len(head), -1, np.int64)  # of each string among those told
+        rank = np.flatnonzero(told)
+        p, m, loose = rep[rank], self.m[run[head][rank]], boiling[rank]
+        if loose.any():
+            m = m.copy()
+            m[loose] = whole_hashes(self.data, p[loose])
+        bucket = ranges_of(m, buckets)
+        o = np.lexsort((p, loose, bucket))
+        number[rank[o]] = np.arange(len(o))
+        p, loose, bucket = p[o], loose[o], bucket[o]
+        cutoff = np.ones(len(p), bool)
+        cutoff[1:] = (np.diff(p) != 1) | (bucket[1:] != bucket[:-1]) | loose[1:] | loose[:-1]
+        first = np.flatnonzero(cutoff)
+        echo = mine & (place != rep[group]) & told[group]
+        return Settled(
+            gone=place[~mine] + self.base,
+            bucket=bucket[first],
+            start=p[first] + self.base,
+            count=np.diff(np.append(first, len(p))),
+            doc=own[rank[o]][first],
+            rank=rank[o],
+            echo=place[echo] + self.base,
+            echo_of=number[group[echo]],
+        )
+
+
+class Settled:
+    """What a shard's suffix array tells: places that an own smaller document has too
+    (``gone``), the runs of distinct strings to ask about, the rank of each string,
+    and further places of such strings in the document that asks (``echo``)."""
+
+    def __init__(self, **parts: np.ndarray):
+        self.__dict__.update(parts)
+
+
+def whole_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the 50 bytes from each place."""
+    w = words8(data)
+    h = np.zeros(len(at), np.uint64)
+    for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+        h = (h ^ w[at + k].astype(np.uint64)) * M1
+        h ^= h >> np.uint64(32)
+    h *= M2
+    return h ^ (h >> np.uint64(29))
+
+
+def shards_in(ids: bytes, sizes: bytes, data: bytes, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """The shards of a unit: ids, sizes and text of neighbouring documents, and their place."""
+    i, n, d = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(data, np.uint8)
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        base = int(ends[a] - n[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + shard, "right")))
+        yield i[a:b], n[a:b], d[base : int(ends[b - 1])], base
+        a = b
 
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -213,8 +275,8 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
         for k in range(0, 64, 8):
             x = w[a[live] + k].astype(np.uint64) ^ w[b[live] + k].astype(np.uint64)
             same = x == 0
-            bits = np.frompyfunc(int.bit_length, 1, 1)(x[~same].astype(object)).astype(np.int64) if (~same).any() else np.zeros(0, np.int64)
-            n[live[~same]] += (64 - bits) // 8
+            top = x[~same] & ~(x[~same] >> np.uint64(1))  # the highest bit stays, and none beside it
+            n[live[~same]] += (64 - np.frexp(top.astype(np.float64))[1].astype(np.int64)) // 8
             live = live[same]
             n[live] += 8
         return n
@@ -239,39 +301,51 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return plcp[sa] * (np.arange(len(sa)) > 0)
 
 
-def distinct_strings(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct strings in order, the smallest document of each, and each start's string."""
-    sa = suffix_array(data, starts)
-    new = common_prefixes(data, sa) < LENGTH
-    new[:1] = True
-    number = np.empty(len(data), np.int64)
-    number[sa] = np.cumsum(new) - 1
-    own = np.full(int(new.sum()), LAST)
-    np.minimum.at(own, number[starts], doc)
-    head = sa[new]
-    strings = np.ascontiguousarray(data[head[:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
-    return strings, own, number[starts]
+def strings_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 50 bytes from each place."""
+    if not len(at):
+        return np.zeros(0, f"S{LENGTH}")
+    return np.ndarray((len(data) - LENGTH + 1,), f"S{LENGTH}", data.tobytes(), 0, (1,))[at]
 
 
-def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted lists of strings with documents as one, by binary search."""
-    at = np.searchsorted(a[0], b[0])
-    same = np.zeros(len(at), bool)
-    inside = at < len(a[0])
-    same[inside] = a[0][at[inside]] == b[0][inside]
-    docs = a[1].copy()
-    docs[at[same]] = np.minimum(docs[at[same]], b[1][same])
-    return np.insert(a[0], at[~same], b[0][~same]), np.insert(docs, at[~same], b[1][~same])
+def held_elsewhere(lists: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each string of some sorted lists whether a smaller document has it in another list.
 
+    Lists are cut at sampled strings by binary search; the cuts, sorted already, are
+    merged by a stable sort, and neighbours that are equal in all bytes share
+    their smallest document.
+    """
+    out = [np.zeros(len(x), bool) for x in lists]
+    total = sum(map(len, lists))
+    step = max(1, PIECE // 64)
+    sample = np.sort(np.concatenate([x[::step] for x in lists])) if lists else np.zeros(0, f"S{LENGTH}")
+    parts = max(1, total // PIECE)
+    marks = np.unique(sample[[len(sample) * k // parts for k in range(1, parts)]]) if parts > 1 else sample[:0]
+    edges = [np.concatenate([[0], np.searchsorted(x, marks), [len(x)]]).astype(np.int64) for x in lists]
+    for k in range(len(marks) + 1):
+        some = [i for i, e in enumerate(edges) if e[k] < e[k + 1]]
+        if len(some) < 2:
+            continue
+        c = np.concatenate([lists[i][edges[i][k] : edges[i][k + 1]] for i in some])
+        d = np.concatenate([docs[i][edges[i][k] : edges[i][k + 1]] for i in some])
+        order = np.argsort(c, kind="stable")
+        c, d = c[order], d[order]
+        new = np.ones(len(c), bool)
+        new[1:] = c[1:] != c[:-1]
+        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+        less = np.empty(len(c), bool)
+        less[order] = d > least
+        for i, x in zip(some, np.split(less, np.cumsum([edges[i][k + 1] - edges[i][k] for i in some])[:-1]), strict=True):
+            out[i][edges[i][k] : edges[i][k + 1]] = x
+    return out
 
-# The rounds.
 
+# The passes.
 
-def shards_of(df: DataFrame) -> DataFrame:
-    """Documents in shards, stored once in the shared folder, bucketed by shard.
 
-    Later passes join small replies to the shards without moving them.
-    """
+def units_of(df: DataFrame, unit: int) -> DataFrame:
+    """Documents in units of about so many bytes, stored once in the shared folder,
+    bucketed by unit, so that later passes join small replies without moving texts."""
     spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +355,12 @@ def shards_of(df: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(p) for p in parts], np.int64)
-            cols = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), sizes.tobytes(), b"".join(parts)))]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "ids", "sizes", "data"])
+            return record(UNIT, number, np.array(ids, np.int64).tobytes(), sizes.tobytes(), b"".join(parts))
 
-        for b in batches:
+        for b in pieces(batches):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 p = t.encode("utf-8", "surrogatepass")
-                if parts and size + len(p) > SHARD:
+                if parts and size + len(p) > unit:
                     yield row()
                     number, ids, parts, size = number + 1, [], [], 0
                 ids.append(LAST if i is None else i)
@@ -296,26 +369,32 @@ def shards_of(df: DataFrame) -> DataFrame:
         if parts:
             yield row()
 
-    table = f"text_shards_{uuid.uuid4().hex}"
     n = min(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
-    out = df.mapInArrow(run, "shard long, ids binary, sizes binary, data binary")
-    out.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, "shard").saveAsTable(table)
-    return spark.table(table)
+    return stored(df.mapInArrow(run, UNIT), "text_units", n, "unit")
 
 
-def per_shard(shards: DataFrame, replies: list[DataFrame], run, schema: str) -> DataFrame:
-    """Run over each shard with its replies: lists of (bucket, bits), one row for each shard."""
-    joined, n = shards, len(replies)
+UNIT = "unit long, ids binary, sizes binary, data binary"
+#: What a unit tells a range: the low halves of its values and how often it has each (8 * log2).
+VALUES = "bucket long, unit long, low binary, often binary"
+REPLY = "bucket long, unit long, bits binary"
+#: Segments to compare (with a bucket), and what a unit needs later (without).
+SETTLED = "bucket long, unit long, lists binary, n binary, d binary, o binary, data binary, gone binary, start binary, count binary, echo binary, echo_of binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
+
+
+def per_unit(units: DataFrame, replies: list[DataFrame], run, schema: str) -> DataFrame:
+    """Run over each unit with its replies: bits of all buckets in order."""
+    joined, n = units, len(replies)
     for k, r in enumerate(replies):
-        one = r.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(f"r{k}")).withColumnRenamed("shard", f"s{k}")
-        joined = joined.join(one.hint("shuffle_hash"), F.col("shard") == F.col(f"s{k}"), "left").drop(f"s{k}")
+        one = r.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(f"r{k}")).withColumnRenamed("unit", f"u{k}")
+        joined = joined.join(one.hint("shuffle_hash"), F.col("unit") == F.col(f"u{k}"), "left").drop(f"u{k}")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                got = [b"".join(x["bits"] for x in (b.column(f"r{k}")[i].as_py() or [])) if f"r{k}" in b.schema.names else b"" for k in range(n)]
-                cells = [b.column(c)[i].as_py() for c in ("shard", "ids", "sizes", "data")]
-                yield from run(cells[0], Shard(*cells[1:]), *got)
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names if c[0] != "r"}
+                got = [b"".join(x["bits"] for x in (b.column(f"r{k}")[i].as_py() or [])) for k in range(n)]
+                yield from run(row, *got)
 
     return joined.mapInArrow(each, schema)
 
@@ -326,6 +405,150 @@ def record(schema: str, *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, (list, np.ndarray)) else [c], kinds[k]) for c, (_, k) in zip(cells, fields, strict=True)], [n for n, _ in fields])
 
 
+def unit_values(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a unit, how many places have each, and whether two shards do."""
+    every = np.concatenate([*(s.values for s in shards), np.zeros(0, np.uint64)])
+    values, which = np.unique(every, return_inverse=True)
+    places = np.bincount(which, np.concatenate([*(s.places for s in shards), np.zeros(0)]), len(values))
+    return values, places, np.bincount(which, minlength=len(values)) > 1
+
+
+def shared_values(table: pa.Table, most: int) -> pa.Table:
+    """Bit 1 of each value of each unit: other units have it; bit 2: very many places have it."""
+    low = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
+    often = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("often").to_pylist()])
+    _, which, units = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+    weight = np.bincount(which, np.exp2(often / 8))
+    codes = ((units > 1) | np.where(weight > most, 2, 0)).astype(np.uint8)[which]
+    bits = [x.tobytes() for x in np.split(codes, np.cumsum([len(x) for x in low])[:-1])]
+    return pa.table({"bucket": table.column("bucket"), "unit": table.column("unit"), "bits": pa.array(bits, pa.binary())})
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """Of each string of each unit whether a smaller document of another shard has it."""
+    lists, docs, places = [], [], []
+    columns = ("lists", "n", "d", "o", "data")
+    for sizes, n, d, o, data in zip(*(table.column(c).to_pylist() for c in columns), strict=True):
+        sizes, n, d, o = (np.frombuffer(x, k) for x, k in ((sizes, np.int64), (n, np.int32), (d, np.int64), (o, np.uint32)))
+        data = np.frombuffer(data, np.uint8)
+        n = n.astype(np.int64)
+        width = n + LENGTH - 1
+        starts, doc = ranges(np.cumsum(width) - width, n), np.repeat(d, n)
+        at = 0
+        for size in sizes.tolist():  # a list for each shard
+            order = at + np.argsort(o[at : at + size])
+            lists.append(strings_at(data, starts[order]))
+            docs.append(doc[order])
+            places.append(order - at)
+            at += size
+    less = held_elsewhere(lists, docs)
+    bits, k = [], 0
+    for sizes in table.column("lists").to_pylist():
+        part = []
+        for _ in range(len(sizes) // 8):
+            x = np.empty(len(less[k]), np.uint8)
+            x[places[k]] = less[k]
+            part.append(x)
+            k += 1
+        bits.append(np.concatenate(part).tobytes())
+    return pa.table({"bucket": table.column("bucket"), "unit": table.column("unit"), "bits": pa.array(bits, pa.binary())})
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unit = min(max(SHARD, math.isqrt(total * SPREAD)), MOST_UNIT)
+    buckets = max(1, -(-total // min(max(RANGE, unit // 4), MOST_RANGE)))
+    units = units_of(docs, unit)
+    shard, hot_from = SHARD, HOT
+
+    def shards(row: dict) -> list[Shard]:
+        return [Shard(*x) for x in shards_in(row["ids"], row["sizes"], row["data"], shard)]
+
+    def tell(row: dict) -> Iterator[pa.RecordBatch]:
+        values, places, _ = unit_values(shards(row))
+        low, often = values.astype(np.uint32), np.minimum(np.round(8 * np.log2(np.maximum(places, 1))), 255).astype(np.uint8)
+        parts = [(b, low[i:j].tobytes(), often[i:j].tobytes()) for b, i, j in cuts(values, buckets)]
+        if parts:
+            yield record(VALUES, [p[0] for p in parts], [row["unit"]] * len(parts), [p[1] for p in parts], [p[2] for p in parts])
+
+    told = written(per_unit(units, [], tell, VALUES).groupBy("bucket").applyInArrow(lambda t: shared_values(t, hot_from), REPLY), "suffix-told")
+
+    def settle(row: dict, bits: bytes) -> Iterator[pa.RecordBatch]:
+        own = shards(row)
+        values, _, across = unit_values(own)
+        code = np.frombuffer(bits, np.uint8)
+        shared, hot = (code & 1 > 0) | across, code & 2 > 0
+        done = []
+        for k, s in enumerate(own):
+            at = np.searchsorted(values, s.values)
+            done.append(s.settle(shared[at], hot[at], buckets))
+            own[k] = None  # a unit may have many shards
+        yield from settled_rows(row["unit"], np.frombuffer(row["data"], np.uint8), done)
+
+    settled = written(per_unit(units, [told], settle, SETTLED), "suffix-settled")
+    asked = settled.filter("bucket is not null").select("bucket", "unit", "lists", "n", "d", "o", "data")
+    answers = asked.groupBy("bucket").applyInArrow(compared, REPLY)
+    kept = settled.filter("bucket is null").select(F.col("unit").alias("of"), "gone", "start", "count", "echo", "echo_of")
+    return per_unit(units.join(kept.hint("shuffle_hash"), F.col("unit") == F.col("of"), "left").drop("of"), [answers], finish, OUT)
+
+
+def settled_rows(unit: int, data: np.ndarray, done: list[Settled]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that a unit asks, and one for the unit itself."""
+    base = np.cumsum([0, *(len(x.rank) for x in done)])
+    joined = lambda name, kind=np.int64: np.concatenate([*(getattr(x, name) for x in done), np.zeros(0, kind)]).astype(kind)
+    bucket, start, count, doc, rank = joined("bucket"), joined("start"), joined("count"), joined("doc"), joined("rank", np.uint32)
+    shard = np.repeat(np.arange(len(done)), [len(x.bucket) for x in done])
+    o = np.lexsort((shard, bucket))  # stable: runs of a shard keep their order
+    was = np.cumsum(count) - count  # of each run the number of its first string, as the shards count them
+    bucket, shard, start, count, doc, was = (x[o] for x in (bucket, shard, start, count, doc, was))
+    now = np.empty(len(rank), np.int64)  # of each string its number among the unit's answers
+    strings = ranges(was, count)
+    now[strings] = np.arange(len(strings))
+    rank = rank[strings]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    rows: list[tuple] = []
+    size = 0
+    none = [None] * 5
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        lists = np.bincount(shard[i:j] - shard[i], count[i:j]).astype(np.int64)
+        text = data[ranges(start[i:j], count[i:j] + LENGTH - 1)].tobytes()
+        rows.append((int(bucket[i]), unit, lists[lists > 0].tobytes(), count[i:j].astype(np.int32).tobytes(), doc[i:j].tobytes(), rank[upto[i] : upto[j]].tobytes(), text, *none))
+        size += len(text)
+        if size > CHUNK:
+            yield record(SETTLED, *map(list, zip(*rows, strict=True)))
+            rows, size = [], 0
+    gone = np.zeros(len(data), bool)
+    gone[joined("gone")] = True
+    echo_of = np.concatenate([*(x.echo_of + b for x, b in zip(done, base.tolist(), strict=False)), np.zeros(0, np.int64)]).astype(np.int64)
+    rows.append((None, unit, *none, np.packbits(gone).tobytes(), start.tobytes(), count.tobytes(), joined("echo").tobytes(), now[echo_of].tobytes()))
+    yield record(SETTLED, *map(list, zip(*rows, strict=True)))
+
+
+def finish(row: dict, bits: bytes) -> Iterator[pa.RecordBatch]:
+    """The documents of a unit without the bytes that any removed string covers."""
+    data = np.frombuffer(row["data"], np.uint8)
+    gone = np.unpackbits(np.frombuffer(row["gone"], np.uint8), count=len(data)).astype(bool)
+    start, count, echo, echo_of = (np.frombuffer(row[c], np.int64) for c in ("start", "count", "echo", "echo_of"))
+    less = np.frombuffer(bits, np.uint8) > 0
+    gone[ranges(start, count)[less]] = True
+    gone[echo[less[echo_of]]] = True
+    hit = np.flatnonzero(gone)
+    cover = np.zeros(len(data) + LENGTH + 1, np.int32)
+    cover[hit] += 1
+    cover[hit + LENGTH] -= 1
+    covered = np.cumsum(cover)[: len(data)] > 0
+    size = np.frombuffer(row["sizes"], np.int64)
+    rows = []
+    for i, a, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        c = covered[a : a + n]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
+        spans = ",".join(f"{x}:{y}" for x, y in edge.reshape(-1, 2).tolist())
+        rows.append((None if i == LAST else i, n, int(c.sum()), len(edge) // 2, hashlib.sha256(data[a : a + n][~c]).hexdigest(), spans))
+    yield record(OUT, *(list(c) for c in zip(*rows, strict=True)))
+
+
 def removed_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each row.
 
@@ -336,133 +559,8 @@ def removed_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as larger than any other. Rows that repeat an id never remove each
     other's bytes; each returns a row. An empty table gives an empty one; other
     columns are ignored; a document of any length is one piece of a shard. A very
-    common passage costs each shard one entry, not one for each document.
+    common passage costs each shard one entry, not one for each document. Stored
+    units and replies are deleted before this returns.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    docs = texts(df, id_col, text_col)
-    shards = shards_of(docs)
-    total = shards.select(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = int(max(1, -(-total // RANGE), 2 * spark.sparkContext.defaultParallelism if total > RANGE else 1))
-    reply = "shard long, bucket long, bits binary"
-
-    # 1: values that two shards have
-    value = "bucket long, shard long, low binary"
-
-    def values(shard: int, s: Shard) -> Iterator[pa.RecordBatch]:
-        low = s.values.astype(np.uint32)
-        parts = [(b, low[i:j].tobytes()) for b, i, j in cuts(s.values, buckets)]
-        if parts:
-            yield record(value, [b for b, _ in parts], [shard] * len(parts), [x for _, x in parts])
-
-    def shared(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        whole = np.concatenate(parts)
-        at = np.minimum(np.searchsorted(twice, whole), max(len(twice) - 1, 0))
-        flags = twice[at] == whole if len(twice) else np.zeros(len(whole), bool)
-        bits = [x.tobytes() for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-    told = per_shard(shards, [], values, value).groupBy("bucket").applyInArrow(shared, reply)
-
-    # 2: whole runs
-    run_row = "bucket long, shard long, m binary, r binary, d binary"
-
-    def runs(shard: int, s: Shard, bits: bytes) -> Iterator[pa.RecordBatch]:
-        _, _, m, r, d = s.keys(np.frombuffer(bits, bool) | s.several())
-        parts = [(b, m[i:j].tobytes(), r[i:j].tobytes(), d[i:j].tobytes()) for b, i, j in cuts(m, buckets)]
-        if parts:
-            yield record(run_row, [p[0] for p in parts], [shard] * len(parts), *([p[k] for p in parts] for k in (1, 2, 3)))
-
-    def judge(table: pa.Table) -> pa.Table:
-        """0: stays; 1: a smaller document has the same run; 2: other contents share the value."""
-        parts = [[np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("m", np.uint64), ("r", np.uint64), ("d", np.int64))]
-        size = [len(x) for x in parts[0]]
-        m, r, d = map(np.concatenate, parts)
-        o = np.lexsort((d, r, m))
-        m, r, d = m[o], r[o], d[o]
-        new_m, new_r = np.ones(len(m), bool), np.ones(len(m), bool)
-        new_m[1:] = m[1:] != m[:-1]
-        new_r[1:] = new_m[1:] | (r[1:] != r[:-1])
-        own = d[np.maximum.accumulate(np.where(new_r, np.arange(len(m)), 0))]
-        group = np.cumsum(new_m) - 1
-        many = np.bincount(group, new_r, int(group[-1]) + 1)[group] > 1
-        code = np.where(d > own, 1, np.where(many, 2, 0)).astype(np.uint8)
-        back = np.empty(len(code), np.uint8)
-        back[o] = code
-        at = np.cumsum([0, *size])
-        bits = [back[at[i] : at[i + 1]].tobytes() for i in range(len(size))]
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-    told = written(told, "suffix-told")
-    judged = written(per_shard(shards, [told], runs, run_row).groupBy("bucket").applyInArrow(judge, reply), "suffix-judged")
-
-    # 3: the rest, byte by byte
-    segment = "bucket long, shard long, n binary, d binary, data binary"
-
-    def rest(shard: int, s: Shard, bits: bytes, codes: bytes) -> Iterator[pa.RecordBatch]:
-        at, key, m, _, d = s.keys(np.frombuffer(bits, bool) | s.several())
-        ask = np.flatnonzero(np.frombuffer(codes, np.uint8) == 2)
-        head = at[np.searchsorted(key, ask)]
-        parts = []
-        for b, i, j in cuts(m[ask], buckets):
-            data, n = s.segments(head[i:j])
-            parts.append((b, n.tobytes(), d[ask[i:j]].tobytes(), data.tobytes()))
-        if parts:
-            yield record(segment, [p[0] for p in parts], [shard] * len(parts), *([p[k] for p in parts] for k in (1, 2, 3)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = [(np.frombuffer(n, np.int64), np.frombuffer(d, np.int64), np.frombuffer(x, np.uint8)) for n, d, x in zip(*(table.column(c).to_pylist() for c in ("n", "d", "data")), strict=True)]
-        whole, lists, group, size = None, [], [], 0
-        for k, row in enumerate(rows):
-            group.append(row)
-            size += len(row[2])
-            if size >= ARRAY or k == len(rows) - 1:
-                n, d, data = (np.concatenate([g[c] for g in group]) for c in range(3))
-                count = n - LENGTH + 1
-                starts, doc = ranges(np.cumsum(n) - n, count), np.repeat(d, count)
-                strings, own, of = distinct_strings(data, starts, doc)
-                whole = (strings, own) if whole is None else merge(whole, (strings, own))
-                lists.append((strings, of, doc, [int((g[0] - LENGTH + 1).sum()) for g in group]))
-                group, size = [], 0
-        bits = []
-        for strings, of, doc, counts in lists:
-            least = whole[1][np.searchsorted(whole[0], strings)]
-            gone = doc > least[of]
-            bits += [x.tobytes() for x in np.split(gone, np.cumsum(counts)[:-1])]
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-    compared = per_shard(shards, [told, judged], rest, segment).groupBy("bucket").applyInArrow(compare, reply)
-
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-
-    def finish(shard: int, s: Shard, bits: bytes, codes: bytes, gone: bytes) -> Iterator[pa.RecordBatch]:
-        at, key, _, _, own = s.keys(np.frombuffer(bits, bool) | s.several())
-        code = np.frombuffer(codes, np.uint8)
-        whole = (code[key] == 1) | (s.doc[at] > own[key])
-        starts = [ranges(s.start[at[whole]], s.count[at[whole]])]
-        ask = np.flatnonzero(code == 2)
-        head = at[np.searchsorted(key, ask)]
-        flags = np.frombuffer(gone, bool)
-        first = np.zeros(len(code), np.int64)
-        first[ask] = np.cumsum(s.count[head]) - s.count[head]
-        asked = (code[key] == 2) & ~whole  # every run of the asking document, not its first alone
-        places = ranges(s.start[at[asked]], s.count[at[asked]])
-        starts.append(places[flags[ranges(first[key[asked]], s.count[at[asked]])]])
-        cover = np.zeros(len(s.data) + LENGTH + 1, np.int32)
-        hit = np.concatenate(starts)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + LENGTH, -1)
-        covered = np.cumsum(cover)[: len(s.data)] > 0
-        rows = []
-        for i, a, n in zip(s.ids.tolist(), s.first.tolist(), s.size.tolist(), strict=True):
-            c = covered[a : a + n]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
-            spans = ",".join(f"{x}:{y}" for x, y in edge.reshape(-1, 2).tolist())
-            rows.append((None if i == LAST else i, n, int(c.sum()), len(edge) // 2, hashlib.sha256(s.data[a : a + n][~c].tobytes()).hexdigest(), spans))
-        yield record(out, *(list(c) for c in zip(*rows, strict=True)))
-
-    return per_shard(shards, [told, judged, compared], finish, out)
-
+    with scratch(df.sparkSession):
+        return lasting(passages(texts(df, id_col, text_col)))

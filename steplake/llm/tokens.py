@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import pieces, texts
 
 #: The pattern that splits text into pre-tokens in byte-level BPE vocabularies (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -197,11 +197,9 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 512, id_col: str =
     repeated rows and ids are each counted; an empty table gives an empty one;
     other columns are ignored. A text of any length is counted whole.
     """
-    small_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             got, size = [], 0
             ts = b.column("text").to_pylist()
             part: list[str] = []
