@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -22,45 +23,95 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def pack(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, offset and final bin length of each piece (none longer than the longest length).
+def greedy_fill(room: int, distinct: list[int], counts: list[int], upto: int) -> int:
+    """Tokens that a room takes of the remaining pieces, largest first.
 
-    Pieces come longest first and go where the least room stays. If no open bin
-    has room, a bin opens whose length costs least for what it can still take:
-    (length + overhead) / (the tokens that it will hold: its own length, or all
-    that are left if they are fewer). At the end each bin shrinks to the
-    shortest permitted length that holds its contents.
+    ``distinct`` ascends; only its first ``upto`` sizes are left.
     """
-    lengths = tuple(sorted(lengths))
-    order = np.argsort(-sizes, kind="stable")
-    where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    got, k = 0, bisect.bisect_right(distinct, room, 0, upto) - 1
+    while k >= 0:
+        n = min(counts[k], room // distinct[k])
+        got += n * distinct[k]
+        room -= n * distinct[k]
+        k = bisect.bisect_right(distinct, room, 0, k) - 1
+    return got
+
+
+def pack_into(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each piece, and the contents of each bin.
+
+    ``sizes`` descend. A piece goes where the least room stays. If no open bin has
+    room, the bin opens that costs least for each token it will hold at the end:
+    its content is the piece and what the remaining pieces, largest first, would
+    fill in, but for those that open bins have room for; its length is the
+    shortest that holds that.
+    """
+    distinct = sorted({s for s in sizes if s})
+    counts = [0] * len(distinct)
+    for s in sizes:
+        if s:
+            counts[bisect.bisect_left(distinct, s)] += 1
+    where, offset, used = [], [], []
     rooms: list[int] = []  # distinct rooms of open bins, ascending
     bins: dict[int, list[int]] = {}  # by room
-    used: list[int] = []
-    full: list[int] = []
-    left = int(sizes.sum())
-    for i in order.tolist():
-        s = int(sizes[i])
+    left, free = sum(sizes), 0
+    for s in sizes:
+        upto = bisect.bisect_right(distinct, s)
+        if s:
+            counts[upto - 1] -= 1
+        left -= s
         k = bisect.bisect_left(rooms, s)
         if k < len(rooms):
             room = rooms[k]
             at = bins[room].pop()
             if not bins[room]:
                 del bins[room], rooms[k]
+            free -= room
         else:
-            room = min((c for c in lengths if c >= s), key=lambda c: ((c + overhead) / max(min(c, left), 1), c))
+            best = None
+            for c in lengths:
+                if c < s:
+                    continue
+                content = s + min(greedy_fill(c - s, distinct, counts, upto), max(0, left - free))
+                cost = (lengths[bisect.bisect_left(lengths, content)] + overhead) / max(content, 1)
+                if best is None or cost < best[0]:
+                    best = cost, c
+            room = best[1]
             at = len(used)
             used.append(0)
-            full.append(room)
-        where[i], offset[i] = at, used[at]
+        where.append(at)
+        offset.append(used[at])
         used[at] += s
-        left -= s
         room -= s
+        free += room
         if room not in bins:
             bins[room] = []
             bisect.insort(rooms, room)
         bins[room].append(at)
-    final = np.array(lengths)[np.searchsorted(lengths, used)] if used else np.zeros(0, np.int64)
+    return where, offset, used
+
+
+def pack(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and final bin length of each piece (none longer than the longest length).
+
+    Pieces are packed, longest first, once for each set of permitted lengths that
+    bins may open with (the longest is always in it), and the cheapest of these
+    packings stays. At the end each bin shrinks to the shortest permitted length
+    that holds its contents; a sequence costs its length and ``overhead``.
+    """
+    lengths = tuple(sorted(lengths))
+    order = np.argsort(-sizes, kind="stable")
+    down = sizes[order].tolist()
+    best = None
+    for n in range(len(lengths)):
+        for some in itertools.combinations(lengths[:-1], n):
+            got = pack_into(down, (*some, lengths[-1]), overhead)
+            shrunk = sum(lengths[bisect.bisect_left(lengths, u)] + overhead for u in got[2])
+            if best is None or shrunk < best[0]:
+                best = shrunk, got
+    where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    where[order], offset[order] = best[1][0], best[1][1]
+    final = np.array(lengths)[np.searchsorted(lengths, best[1][2])] if len(sizes) else np.zeros(0, np.int64)
     return where, offset, final[where]
 
 
