@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, lasting, scratch, written
 
-#: Repeated keys up to this many (24 bytes each) are broadcast; more are joined by a shuffle.
+#: Repeated keys up to this many (24 bytes each) are broadcast. Of more, those are that
+#: have over one in so many lines, and so are fewer; the others are joined by a shuffle.
 MOST_BROADCAST = 1 << 17
 
 
@@ -27,6 +28,14 @@ def is_set(bits: Column, i: Column) -> Column:
     return F.coalesce(F.call_function("getbit", word, i.bitwiseAND(F.lit(63))) == 1, F.lit(False))
 
 
+def runs(flags: Column) -> Column:
+    """Bits as run lengths, comma-joined: unset ones first (0 if there are none), then set ones, and so on."""
+    n = F.size(flags)
+    turns = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & (F.get(flags, i) != F.get(flags, i - 1)))
+    edges = F.concat(F.when(F.get(flags, F.lit(0)), F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0))), turns, F.array(n))
+    return F.array_join(F.transform(F.slice(edges, 2, F.size(edges)), lambda e, i: (e - F.get(edges, i)).cast("string")), ",")
+
+
 def drop_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _h, bits, n_dropped``: a bitmap of the lines to drop, for rows that lose any.
 
@@ -39,18 +48,26 @@ def drop_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     is streamed from there, and counts are summed before they are shuffled. The
     bitmap holds 64-bit words up to the last one with a bit set.
     """
+    with scratch(df.sparkSession):
+        return lasting(bitmaps(df, min_docs, min_chars, keep_first, id_col, text_col))
+
+
+def bitmaps(df: DataFrame, min_docs: int, min_chars: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(df[id_col].cast("long").alias("_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("_text"))
     each = rows.select("_id", F.xxhash64("_text").alias("_h"), F.posexplode(lines(F.col("_text"))).alias("pos", "line"))
     keyed = each.select("_id", "_h", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     table = written(keyed.select("_id", "_h", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), "key").alias("h2")), "line-hashes")
     order = ["h1", "h2", "_id", "_h", "pos"]
     dealt = table.repartitionByRange("h1", "h2", "_id").sortWithinPartitions(*order)
-    found = dealt.groupBy("h1", "h2", "_id").agg(F.min(F.struct("_h", "pos")).alias("first"))
-    counts = found.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "first._h", "first.pos")).alias("first"))
-    hot = counts.filter(F.col("docs") >= min_docs).select("h1", "h2", "first")
+    found = dealt.groupBy("h1", "h2", "_id").agg(F.min(F.struct("_h", "pos")).alias("first"), F.count("*").alias("n"))
+    counts = found.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("n").alias("lines"), F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "first._h", "first.pos")).alias("first"))
+    hot = counts.filter(F.col("docs") >= min_docs).select("h1", "h2", "first", "lines")
     hot = written(hot, "line-keys")
-    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
-    gone = table.join(hot, ["h1", "h2"])
+    if hot.count() <= MOST_BROADCAST:
+        gone = table.join(F.broadcast(hot), ["h1", "h2"])
+    else:  # no key of the shuffled part has more than one in MOST_BROADCAST lines
+        many = F.col("lines") > table.count() / MOST_BROADCAST
+        gone = table.join(F.broadcast(hot.filter(many)), ["h1", "h2"]).unionByName(table.join(hot.filter(~many), ["h1", "h2"]))
     if keep_first:
         gone = gone.filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h")) & (F.col("pos") == F.col("first.pos"))))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)))
@@ -61,9 +78,11 @@ def drop_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
 
 
 def line_dedup(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and, last, a struct ``_lines`` of ``n_lines, n_dropped, bits, kept``.
+    """All columns of ``df`` and, last, a struct ``_lines`` of ``n_lines, n_dropped, bits, keep, kept``.
 
-    ``kept`` is the text without the lines that ``drop_bitmaps`` marks. Rows meet
+    ``keep`` is the row's keep bitmap, compressed to run lengths: lines kept,
+    lines dropped, lines kept, and so on. ``kept`` is the text without the lines
+    that ``drop_bitmaps`` marks; it isn't made where it isn't used. Rows meet
     their bitmaps by id and hash of the text, in one join that shuffles texts once.
 
     A null text has one empty line and stays empty; a null id counts as one
@@ -78,5 +97,8 @@ def line_dedup(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first
     text = F.coalesce(left[text_col].cast("string"), F.lit(""))
     both = left.join(marks.hint("shuffle_hash"), left[id_col].cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(text) == marks["_h"]), "left")
     kept = F.when(marks["bits"].isNull(), text).otherwise(F.array_join(F.filter(lines(text), lambda _, i: ~is_set(marks["bits"], i)), "\n"))
-    new = F.struct(F.size(lines(text)).cast("long").alias("n_lines"), F.coalesce(marks["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"), marks["bits"].alias("bits"), kept.alias("kept"))
+    n = F.size(lines(text))
+    flags = F.transform(F.sequence(F.lit(0), n - 1), lambda i: is_set(marks["bits"], i))
+    keep = F.when(marks["bits"].isNull(), n.cast("string")).otherwise(runs(flags))
+    new = F.struct(F.size(lines(text)).cast("long").alias("n_lines"), F.coalesce(marks["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"), marks["bits"].alias("bits"), keep.alias("keep"), kept.alias("kept"))
     return both.select(*(left[c] for c in left.columns), new.alias("_lines"))

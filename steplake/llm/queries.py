@@ -56,7 +56,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"), F.col("_lines.keep").alias("keep_runs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,10 +75,19 @@ ORACLE = {
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM each
-        ), hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS n_dropped,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
-        FROM keyed LEFT JOIN hot USING (k) GROUP BY doc_id
+        ), hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+        done AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256,
+                list(hot.k IS NOT NULL ORDER BY pos) AS f
+            FROM keyed LEFT JOIN hot USING (k) GROUP BY doc_id
+        ), edged AS (
+            SELECT *, list_concat(list_concat(CASE WHEN f[1] THEN [0, 0] ELSE [0] END,
+                list_filter(range(1, n_lines), lambda i: f[i + 1] <> f[i])), [n_lines]) AS e FROM done
+        )
+        SELECT doc_id, n_lines, n_dropped, kept_sha256,
+            array_to_string(list_transform(range(2, len(e) + 1), lambda i: e[i] - e[i - 1]), ',') AS keep_runs
+        FROM edged
     """,
 }
 
