@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, pieces, texts, written
+from .common import components, cut, lasting, pieces, scratch, texts, written
 
 SEED = 42
 SEGMENTS = 4
+#: Segments of a chain that the ring test looks at.
+CHAIN = 2
 #: Differing bits up to which fingerprints link; the segments above rely on it.
 BITS = 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -26,8 +28,9 @@ MOST = 4096
 MOST_BROADCAST = 1 << 17
 ALL = (1 << 64) - 1
 #: Differing bits up to which fingerprints of similar texts are compared further: at a
-#: similarity of 0.8 they differ in 10 on average, in over 24 once in a million pairs.
-WIDE_BITS = 24
+#: similarity of 0.8 they differ in 10 on average (12 where sets have 4 and 5 shingles,
+#: with a deviation of 3); over 28 is five deviations away.
+WIDE_BITS = 28
 WIDE_SEGMENTS = 8
 #: A similar pair is missed if none of BANDS keys of ROWS_OF_BAND least hashes is equal:
 #: (1 - 0.8 ** 4) ** 20, at most one pair in 37,000.
@@ -84,13 +87,20 @@ def within_ring(x: np.ndarray, bits: int = BITS, segments: int = SEGMENTS) -> np
 
     If at most ``bits`` bits differ, some segment starts a chain round the ring
     whose first l segments differ in at most bits * l / segments, for every l.
+    Only chains of up to CHAIN segments are asked for: longer ones cost more than
+    the full count that follows.
     """
+    chain = min(CHAIN, segments)
     d = np.bitwise_count(x[..., None].view(f"u{8 // segments}").reshape(*x.shape, segments)).astype(np.int16)
-    run = np.cumsum(np.concatenate([np.zeros((*x.shape, 1), np.int16), d, d], -1), -1, dtype=np.int16)
-    budget = bits * np.arange(1, segments + 1) // segments
+    budget = bits * np.arange(1, chain + 1) // segments
     ok = np.zeros(x.shape, bool)
     for i in range(segments):
-        ok |= (run[..., i + 1 : i + 1 + segments] - run[..., i, None] <= budget).all(-1)
+        run = d[..., i]
+        good = run <= budget[0]
+        for k in range(1, chain):
+            run = run + d[..., (i + k) % segments]
+            good &= run <= budget[k]
+        ok |= good
     return ok
 
 
@@ -278,11 +288,12 @@ def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     rows each return; an empty table gives an empty one; other columns are
     ignored; texts are hashed whole.
     """
-    fps = cut(fingerprints(df, shingle, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(near_links(nodes.filter("rep is not null")))
-    groups = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id")
+    with scratch(df.sparkSession):
+        fps = cut(fingerprints(df, shingle, id_col, text_col))
+        nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+        found = components(near_links(nodes.filter("rep is not null")))
+        groups = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+        return lasting(fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id"))
 
 
 def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
@@ -410,6 +421,11 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     are treated as in ``near_duplicates``; texts without words are equal to each
     other.
     """
+    with scratch(df.sparkSession):
+        return lasting(similar_components(df, shingle, similarity, id_col, text_col))
+
+
+def similar_components(df: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     found = written(profiles(df, shingle, id_col, text_col), "profiles")
     nodes = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
@@ -432,8 +448,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_i
     ``similar_documents``. Rows with a null id stay; of rows that repeat an id one
     stays, the one whose text sorts first.
     """
-    found = near_duplicates(docs, shingle, id_col, text_col) if similarity is None else similar_documents(docs, shingle, similarity, id_col, text_col)
-    spare = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct()
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, shingle, id_col, text_col) if similarity is None else similar_documents(docs, shingle, similarity, id_col, text_col)
+        spare = lasting(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct())
     kept = docs.join(spare, docs[id_col].cast("long") == spare["_spare"], "left_anti")
     return one_of_each(kept, id_col, text_col)
 
