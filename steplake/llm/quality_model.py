@@ -15,13 +15,14 @@ from .ragged import token_hashes
 BITS = 18
 #: Features are shares of a text's n-grams, times this.
 SCALE = 20.0
-#: A word that one of the last REACH tokens already was becomes this token.
+#: A word that one of the last REACH words already was gives the n-gram REPEAT besides
+#: (a skip-gram of a word with itself, whatever the word).
 REACH, REPEAT = 4, np.uint64(0xA0761D6478BD642F)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of the words and word pairs of some texts, and each one's text."""
+    """Feature numbers of the words, word pairs and repeats of some texts, and each one's text."""
     parts = [t.encode("utf-8", "surrogatepass") for t in batch]
     ends = np.cumsum([len(p) + 1 for p in parts])
     h, start, _ = token_hashes(b"\n".join(parts))
@@ -29,12 +30,11 @@ def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(h), bool)
     for k in range(1, REACH + 1):
         again[k:] |= (h[k:] == h[:-k]) & (of[k:] == of[:-k])
-    h[again] = REPEAT
     pairs = (h[:-1] * np.uint64(3) + h[1:]) * MIX
     inside = of[1:] == of[:-1]
-    found = np.concatenate([h * MIX, pairs[inside]])
+    found = np.concatenate([h * MIX, pairs[inside], np.full(int(again.sum()), REPEAT)])
     found ^= found >> np.uint64(29)
-    return (found * MIX) >> np.uint64(64 - BITS), np.concatenate([of, of[1:][inside]])
+    return (found * MIX) >> np.uint64(64 - BITS), np.concatenate([of, of[1:][inside], of[again]])
 
 
 class Ftrl:
@@ -76,19 +76,19 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = 4_000, passes: int = 3, models: int = 4) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = 4_000, passes: int = 3) -> np.ndarray:
     """Weights learned from labelled documents that aren't held out.
 
     ``most_rows`` bounds the labelled sample: the ids of smallest xxhash64. That
     sample, ids and labels alone, is broadcast, so only its texts are shuffled.
-    Each of ``models`` tasks trains on its part; the driver averages their
-    weights, 2 MB each, by rows. Rows with a null id or label are no examples;
-    of contradicting labels of an id the largest counts. Without examples all
-    weights are zero.
+    One task trains one model on them, in the order of these hashes, ``passes``
+    times over; its weights, 2 MB, come to the driver. Rows with a null id or
+    label are no examples; of contradicting labels of an id the largest counts.
+    Without examples all weights are zero.
     """
     lab = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).dropna()
     lab = lab.filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.join(F.broadcast(lab), "doc_id").repartition(models, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "text")
+    rows = docs.join(F.broadcast(lab), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl(), []
@@ -99,13 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_row
             for at, x, y in seen:
                 model.learn(at, x, y)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64()), pa.array([model.weights(slice(None)).astype(np.float32).tobytes()])], ["n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    w, n = np.zeros((1 << BITS) + 1), 0
-    for r in rows.select("text", "y").mapInArrow(run, "n long, w binary").toLocalIterator():
-        w += r.n * np.frombuffer(r.w, np.float32)
-        n += r.n
-    return w / max(n, 1)
+    got = rows.select("text", "y").mapInArrow(run, "w binary").first()
+    return np.frombuffer(got.w, np.float32).astype(float) if got else np.zeros((1 << BITS) + 1)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
