@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces, texts
+from .pii_labels import training_table
 
 #: Kinds of spans, in the order of output; label 0 of the field is "none".
 KINDS = ("email", "ip", "card", "phone")
@@ -71,18 +71,36 @@ def base_spans(t: str) -> list[list[tuple[int, int]]]:
 SPACE = re.compile(r"\S+")
 EDGE = ".,;:!?\"'<>[]{}"
 SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}})
+DIGITS = re.compile(r"9+\+?")
 RUNS = re.compile(r"([Aa])\1+|(9)\2{4,}")
 FEATURES = 1 << 13
-CUE = re.compile(r"[0-9@]")
+DIGIT_OR_AT = re.compile(r"[0-9@]")
+SIGN_EDGE = EDGE + "()"
+#: What a line must have for a span: a digit, an @ or a word for one of an address's signs.
+CUE = re.compile(r"[0-9@]|(?i:[\[({<] ?(?:at|dot) ?[\])}>]|\bdot\b)")
+AT, DOT = (re.compile(rf"(?i)[\[({{<]{x}[\])}}>]") for x in ("at", "dot"))
+SIGNS = {"at": "<at>", "dot": "<dot>"}
+#: Words round a word with a cue that are decoded with it, and words decoded as one line.
+NEAR, LONGEST = 8, 512
 
 
 def shape(w: str) -> str:
     """Letters as A or a, digits as 9; runs of letters, and of over four digits, cut short."""
-    w = w.strip(EDGE)
-    if not CUE.search(w):
-        return "Aa" if w[:1].isupper() else "a"
+    sign = SIGNS.get(w.strip(SIGN_EDGE).lower())
+    if sign:
+        return sign
+    w = DOT.sub(".", AT.sub("@", w)).strip(EDGE)
+    if not DIGIT_OR_AT.search(w):
+        return ("Aa" if w[:1].isupper() else "a") + (".a" if "." in w else "")
     n = sum(map(str.isdigit, w))
-    return RUNS.sub(lambda m: m[1] or "9+", w.translate(SHAPE)) + f"/{min(n, 20)}"
+    line = RUNS.sub(lambda m: m[1] or "9+", w.translate(SHAPE))
+    return DIGITS.sub("9", line) if "@" in w else line + f"/{min(n, 20)}"
+
+
+def coarse(s: str) -> str:
+    """A shape as the set of its signs (of an address: @ and dots alone), and its number of digits."""
+    line, _, n = s.rpartition("/") if "/" in s else (s, "", "")
+    return "".join(sorted(set(line) & set("@.") if "@" in line else set(line) - set("Aa9"))) + n
 
 
 @functools.lru_cache(200_000)
@@ -90,79 +108,35 @@ def feature(place: int, s: str) -> int:
     return zlib.crc32(f"{place}:{s}".encode()) % FEATURES
 
 
-def features(words: list[str]) -> list[tuple[int, int, int, int]]:
-    """Of each word: its shape, its neighbours' shapes and its shape with the one before."""
-    s = ["^", *map(shape, words), "$"]
-    return [(feature(0, s[i]), feature(-1, s[i - 1]), feature(1, s[i + 1]), feature(2, s[i - 1] + " " + s[i])) for i in range(1, len(s) - 1)]
+#: Features of a word.
+EACH = 7
 
 
-def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[list[str], list[int]]]:
-    """The labelled table the field is trained on, made by a rule: words and label numbers.
-
-    Positive rows write addresses and numbers in their usual forms, with and
-    without a country code. Negative rows hold what looks alike: dates, versions,
-    amounts, identifiers, keys, hexadecimal strings and long numbers.
-    """
-    r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(1, 9)))
-    h = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-
-    def filler() -> str:
-        x = w()
-        x = x.capitalize() if r.random() < 0.2 else x
-        return x + (r.choice(".,") if r.random() < 0.2 else "")
-
-    def entity(kind: int) -> list[str]:
-        if kind == 1:
-            return [f"{w()}{r.choice(['', '.', '_', '-'])}{r.choice([w(), d(2)])}@{w()}{r.choice(['', '-' + w(), d(1)])}.{r.choice([w(), w() + '.com'])}"]
-        if kind == 2:
-            return [".".join(str(r.randint(1, 255)) for _ in range(4))]
-        if kind == 3:
-            x = "4" + d(15)
-            return [[x], [x[:4], x[4:8], x[8:12], x[12:]], ["-".join((x[:4], x[4:8], x[8:12], x[12:]))]][r.randint(0, 2)]
-        a, b, c = d(3), d(3), d(4)
-        return [["+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], ["+" + d(2), a, b, c], [f"+{d(2)}-{a}-{b}-{c}"]][r.randint(0, 5)]
-
-    def decoy() -> list[str]:
-        return r.choice([
-            [f"{r.randint(1900, 2030)}-{d(2)}-{d(2)}"], [f"{d(1)}.{d(1)}"], [f"{d(1)}.{d(2)}.{d(1)}"], [d(r.randint(1, 8))], [f"{d(2)}/{d(2)}/{d(4)}"],
-            [h(r.choice((8, 18, 32, 40)))], [f"AKIA{w().upper()}{d(3)}{w().upper()}"], [f"{w()}={h(18)}"], [f"${d(2)}.{d(2)}"], [f"{d(2)}%"], [f"{w()}{d(1)}"],
-            [f'"{h(40)}"'], [d(20)], [f"{d(2)}:{d(2)}"], [f"{d(3)},{d(3)}"], ["@" + w()], [f"{d(1)}-{d(1)}"], [f"({d(1)})"], [f"({d(4)})"], [d(3), d(3), d(4)], [d(4), d(4)], [f"{d(5)}-{d(4)}"],
-        ])
-
-    table = []
-    for k in range(rows):
-        words, labels = [], []
-        for _ in range(r.randint(1, 3)):
-            for _ in range(r.randint(0, 4)):
-                words.append(filler())
-                labels.append(0)
-            kind = 0 if k % 2 else r.randint(1, 4)
-            part = entity(kind) if kind else decoy()
-            if r.random() < 0.2:
-                part = [*part[:-1], part[-1] + r.choice(".,")]
-            words += part
-            labels += [kind] * len(part)
-        table.append((words, labels))
-    return table
+def features(words: list[str]) -> list[tuple[int, ...]]:
+    """Of each word: its shape, its neighbours' shapes, its shape with the one before,
+    the one after and the one after that, and its coarse shape."""
+    s = ["^", *map(shape, words), "$", "$"]
+    return [
+        (feature(0, s[i]), feature(-1, s[i - 1]), feature(1, s[i + 1]), feature(2, s[i - 1] + " " + s[i]), feature(3, s[i] + " " + s[i + 1]), feature(4, s[i] + " " + s[i + 2]), feature(5, coarse(s[i])))
+        for i in range(1, len(s) - 2)
+    ]
 
 
 class Field:
     """Weights of a linear-chain field: emissions by hashed feature, and transitions."""
 
-    def __init__(self, table: list[tuple[list[str], list[int]]], turns: int = 80, rate: float = 0.5, decay: float = 1e-3):
+    def __init__(self, table: list[tuple[list[str], list[int]]], turns: int = 80, rate: float = 0.5, decay: float = 2e-4):
         n = len(KINDS) + 1
         self.emit, self.move = np.zeros((FEATURES, n)), np.zeros((n, n))
         size = np.array([len(w) for w, _ in table])
-        x = np.full((len(table), size.max(), 4), FEATURES - 1)
+        x = np.full((len(table), size.max(), EACH), FEATURES - 1)
         y = np.zeros((len(table), size.max()), int)
         for i, (words, labels) in enumerate(table):
             x[i, : len(words)], y[i, : len(words)] = features(words), labels
         on = np.arange(size.max()) < size[:, None]
         ge, gm = np.full_like(self.emit, 1e-8), np.full_like(self.move, 1e-8)
         gold_e, gold_m = np.zeros_like(self.emit), np.zeros_like(self.move)
-        for f in range(4):
+        for f in range(EACH):
             np.add.at(gold_e, (x[on][:, f], y[on]), 1)
         both = on[:, 1:]
         np.add.at(gold_m, (y[:, :-1][both], y[:, 1:][both]), 1)
@@ -177,7 +151,7 @@ class Field:
             z = self.total(alpha[np.arange(len(size)), size - 1], 1)
             p = np.exp(alpha + beta - z[:, None, None])
             grad_e, grad_m = gold_e - decay * self.emit * len(table), gold_m.copy()
-            for f in range(4):
+            for f in range(EACH):
                 np.subtract.at(grad_e, x[on][:, f], p[on])
             for t in range(1, e.shape[1]):
                 q = np.exp(alpha[:, t - 1, :, None] + self.move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
@@ -204,11 +178,11 @@ class Field:
             part = order[at : max(upto, at + 1)]
             at += len(part)
             size = np.array([len(lines[i]) for i in part])
-            x = np.zeros((len(part), size.max(), 4), np.int64)
+            x = np.zeros((len(part), size.max(), EACH), np.int64)
             for k, i in enumerate(part):
                 x[k, : size[k]] = features(lines[i])
             e = self.emit[x[:, :, 0]]
-            for f in range(1, 4):
+            for f in range(1, EACH):
                 e += self.emit[x[:, :, f]]
             best, back = e[:, 0], np.zeros(e.shape, np.int8)
             ends = np.zeros((len(part), e.shape[2]))
@@ -230,11 +204,15 @@ class Field:
         return out
 
 
+#: An address, with signs or words for them.
+ADDRESS = re.compile(r"(?i)[a-z0-9._%+-]+(?:@| ?[\[({<]at[\])}>] ?| at )[a-z0-9-]+(?:(?:\.| ?[\[({<]dot[\])}>] ?| dot )[a-z0-9-]+)+")
+
+
 def sound(kind: int, s: str) -> bool:
     """Whether a span that the field proposes can be of its kind at all."""
     digits = NOT_DIGIT.sub("", s)
     if kind == 1:
-        return 0 < s.find("@") < len(s) - 3 and "." in s[s.find("@") :]
+        return bool(ADDRESS.fullmatch(s))
     if kind == 2:
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -243,11 +221,28 @@ def sound(kind: int, s: str) -> bool:
     return 10 <= len(digits) <= 15 and not re.search(r"[^0-9() .+-]", s)
 
 
+def near_cues(words: list[str]) -> list[slice]:
+    """Parts of a line: words at most NEAR from one with a cue. A part of over LONGEST
+    words is cut into ones that overlap by 4 * NEAR, more than a span can have."""
+    parts: list[slice] = []
+    begin = end = 0
+    for i in (i for i, w in enumerate(words) if CUE.search(w)):
+        if i - NEAR > end:
+            if end:
+                parts.append(slice(begin, end))
+            begin = i - NEAR
+        end = min(i + NEAR + 1, len(words))
+    if end:
+        parts.append(slice(begin, end))
+    return [slice(a, min(a + LONGEST, p.stop)) for p in parts for a in range(p.start, max(p.start + 1, p.stop - 4 * NEAR), LONGEST - 4 * NEAR)]
+
+
 def added_spans(field: Field, batch: list[str], base: list[list[list[tuple[int, int]]]]) -> list[list[list[tuple[int, int]]]]:
     """Spans that the field finds beside the fixed ones.
 
-    A span must hold a digit or an @, so only lines with one are decoded; the
-    others can't give a span. A proposal that touches a fixed span is left out.
+    A span must hold a cue, so only words near one are decoded, in lines of
+    bounded length; the others can't give a span. A proposal that touches a
+    fixed span is left out.
     """
     lines, where = [], []
     for k, t in enumerate(batch):
@@ -257,8 +252,9 @@ def added_spans(field: Field, batch: list[str], base: list[list[list[tuple[int,
         for line in t.split("\n"):
             if CUE.search(line):
                 tokens = [(m.start() + start, m.end() + start) for m in SPACE.finditer(line)]
-                lines.append([t[a:b] for a, b in tokens])
-                where.append((k, tokens))
+                for part in near_cues([t[a:b] for a, b in tokens]):
+                    lines.append([t[a:b] for a, b in tokens[part]])
+                    where.append((k, tokens[part]))
             start += len(line) + 1
     found: list[list[list[tuple[int, int]]]] = [[[] for _ in KINDS] for _ in batch]
     if not lines:
@@ -267,7 +263,7 @@ def added_spans(field: Field, batch: list[str], base: list[list[list[tuple[int,
         if not labels.any():
             continue
         t, i = batch[k], 0
-        taken = [s for spans in base[k] for s in spans]
+        taken = [s for spans in (*base[k], *found[k]) for s in spans]
         while i < len(labels):
             kind, j = int(labels[i]), i + 1
             while j < len(labels) and labels[j] == kind:
@@ -280,6 +276,7 @@ def added_spans(field: Field, batch: list[str], base: list[list[list[tuple[int,
                     b -= 1
                 if sound(kind, t[a:b]) and not any(x < b and a < y for x, y in taken):
                     found[k][kind - 1].append((a, b))
+                    taken.append((a, b))  # parts of a long line overlap
             i = j
     return found
 
@@ -292,14 +289,14 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row.
 
     Counts and the digest are of the fixed patterns' spans; ``spans`` has the
-    field's too. The field is trained on the driver from ``labelled_table`` (a
-    second) and travels with the tasks; one narrow pass, no shuffle.
+    field's too. The field is trained on the driver from ``pii_labels.training_table``
+    (seconds) and travels with the tasks; one narrow pass, no shuffle.
 
     A null text counts as empty: no spans, the digest of an empty string. Null
     ids stay, repeated rows are each searched, an empty table gives an empty
     one, other columns are ignored, and texts are searched whole.
     """
-    field = Field(labelled_table())
+    field = Field(training_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
