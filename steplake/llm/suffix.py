@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document has: suffix arrays of text shards.
 
-Documents lie in shards of 4 MB, shards in units, units in a table that is stored
+Documents lie in shards of 2 MB, shards in units, units in a table that is stored
 once. Which byte strings of 50 bytes also start in a document with a smaller id is
 settled in three passes over the units:
 
@@ -11,10 +11,12 @@ settled in three passes over the units:
 2. The text of each shard's strings with a shared minimum gets a suffix array
    (Larsson-Sadakane refinement) and common prefixes (Kasai): they number the
    shard's distinct strings and settle all that its own documents share. Of each
-   distinct string the first place in the smallest document goes, in the order of
-   the array, to a task for its range of minima. There the sorted lists of all
-   shards are cut at sampled strings by binary search, the cuts merged, and equal
-   neighbours, compared byte by byte, give each string's smallest document.
+   distinct string the first place in the smallest document goes to a task for its
+   range of minima. There the sorted lists of all shards are cut at sampled strings
+   by binary search, the cuts merged, and equal neighbours, compared byte by byte,
+   give each string's smallest document. Neighbouring strings travel as one run of
+   text, so a list is put in order where it arrives: to send its order too would
+   take as much room as the text.
 3. Units take the bits that come back and cut their documents.
 
 Hashes only choose what is compared and where; bytes decide. Units and ranges grow
@@ -40,9 +42,9 @@ from .common import lasting, pieces, scratch, stored, texts, written
 LENGTH, PART = 50, 24
 WIDTH = LENGTH - PART + 1
 #: Bytes of text that get a suffix array at once (one document may be longer), and least bytes for a range of minima.
-SHARD, RANGE = 4 << 20, 1 << 20
-#: A unit has the square root of total * SPREAD bytes, MOST_UNIT at most: 5.7 MB of 0.5 GB, 256 MB of 1 TB and more.
-SPREAD, MOST_UNIT, MOST_RANGE = 1 << 16, 256 << 20, 32 << 20
+SHARD, RANGE = 2 << 20, 1 << 20
+#: A unit has the square root of total * SPREAD bytes, MOST_UNIT at most: 4 MB of 1 GB, 256 MB of 4 TB and more.
+SPREAD, MOST_UNIT, MOST_RANGE = 1 << 14, 256 << 20, 32 << 20
 #: A value with more places than this is dealt string by string.
 HOT = 4096
 #: Strings merged at once, and bytes of segments put together at once.
@@ -54,7 +56,7 @@ LAST = np.iinfo(np.int64).max
 
 def words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, big-endian, so that numbers sort as bytes."""
-    return np.ndarray((max(len(data) - 7, 0),), ">u8", data.tobytes(), 0, (1,))
+    return np.ndarray((max(len(data) - 7, 0),), ">u8", np.ascontiguousarray(data), 0, (1,))
 
 
 def minima(data: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ class Shard:
         long = size >= LENGTH
         np.add.at(inside, self.first[long], 1)
         np.add.at(inside, ends[long] - LENGTH + 1, -1)
-        inside = np.cumsum(inside)[: len(m)] > 0  # the string ends within its document
+        inside = np.cumsum(inside, dtype=np.int32)[: len(m)] > 0  # the string ends within its document
         change[self.first[long]] = True
         start = np.flatnonzero(change & inside)
         bound = np.flatnonzero(change | ~inside) if len(m) else np.zeros(0, np.int64)
@@ -125,7 +127,7 @@ class Shard:
         edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, self.start[at], 1)
         np.add.at(edge, self.start[at] + self.count[at] + LENGTH - 1, -1)
-        back = np.flatnonzero(np.cumsum(edge) > 0)  # places of the text that is sorted
+        back = np.flatnonzero(np.cumsum(edge, dtype=np.int32) > 0)  # places of the text that is sorted
         text = self.data[back]
         begin = np.searchsorted(back, starts)
         of = np.empty(len(text), np.int32)  # run of each start
@@ -148,7 +150,9 @@ class Shard:
             m = m.copy()
             m[loose] = whole_hashes(self.data, p[loose])
         bucket = ranges_of(m, buckets)
-        o = np.lexsort((p, loose, bucket))
+        key = (2 * bucket + loose).astype(np.uint16 if buckets < 1 << 15 else np.int64)  # short keys sort by radix
+        o = np.argsort(p)
+        o = o[np.argsort(key[o], kind="stable")]
         number[rank[o]] = np.arange(len(o))
         p, loose, bucket = p[o], loose[o], bucket[o]
         cutoff = np.ones(len(p), bool)
@@ -161,7 +165,7 @@ class Shard:
             start=p[first] + self.base,
             count=np.diff(np.append(first, len(p))),
             doc=own[rank[o]][first],
-            rank=rank[o],
+            strings=len(o),
             echo=place[echo] + self.base,
             echo_of=number[group[echo]],
         )
@@ -169,10 +173,10 @@ class Shard:
 
 class Settled:
     """What a shard's suffix array tells: places that an own smaller document has too
-    (``gone``), the runs of distinct strings to ask about, the rank of each string,
+    (``gone``), the runs of distinct strings to ask about, the number of these strings,
     and further places of such strings in the document that asks (``echo``)."""
 
-    def __init__(self, **parts: np.ndarray):
+    def __init__(self, **parts: np.ndarray | int):
         self.__dict__.update(parts)
 
 
@@ -228,7 +232,7 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
     w = words8(padded)[: len(data)].astype(np.uint64)
-    order = np.argsort(w, kind="stable")
+    order = np.argsort(w)
     rank = np.empty(len(data) + LENGTH, np.int64)
     rank[len(data) :] = -1
 
@@ -247,11 +251,12 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(tied):
             break
         at = order[tied]
-        group, then = rank[at], rank[at + step]
-        o = np.lexsort((then, group))
+        both = (rank[at] << 32) | (rank[at + step] + 1)
+        o = np.argsort(both)
         order[tied] = at[o]
+        both = both[o]
         new = np.ones(len(tied), bool)
-        new[1:] = (group[o][1:] != group[o][:-1]) | (then[o][1:] != then[o][:-1])
+        new[1:] = both[1:] != both[:-1]
         if step < 18:
             tied = tied[settle(at[o], new, tied)]
     want = np.zeros(len(data), bool)
@@ -305,7 +310,7 @@ def strings_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 50 bytes from each place."""
     if not len(at):
         return np.zeros(0, f"S{LENGTH}")
-    return np.ndarray((len(data) - LENGTH + 1,), f"S{LENGTH}", data.tobytes(), 0, (1,))[at]
+    return np.ndarray((len(data) - LENGTH + 1,), f"S{LENGTH}", np.ascontiguousarray(data), 0, (1,))[at]
 
 
 def held_elsewhere(lists: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -378,7 +383,7 @@ UNIT = "unit long, ids binary, sizes binary, data binary"
 VALUES = "bucket long, unit long, low binary, often binary"
 REPLY = "bucket long, unit long, bits binary"
 #: Segments to compare (with a bucket), and what a unit needs later (without).
-SETTLED = "bucket long, unit long, lists binary, n binary, d binary, o binary, data binary, gone binary, start binary, count binary, echo binary, echo_of binary"
+SETTLED = "bucket long, unit long, lists binary, n binary, d binary, data binary, gone binary, start binary, count binary, echo binary, echo_of binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
 
 
@@ -427,19 +432,20 @@ def shared_values(table: pa.Table, most: int) -> pa.Table:
 def compared(table: pa.Table) -> pa.Table:
     """Of each string of each unit whether a smaller document of another shard has it."""
     lists, docs, places = [], [], []
-    columns = ("lists", "n", "d", "o", "data")
-    for sizes, n, d, o, data in zip(*(table.column(c).to_pylist() for c in columns), strict=True):
-        sizes, n, d, o = (np.frombuffer(x, k) for x, k in ((sizes, np.int64), (n, np.int32), (d, np.int64), (o, np.uint32)))
-        data = np.frombuffer(data, np.uint8)
+    columns = ("lists", "n", "d", "data")
+    for sizes, n, d, data in zip(*(table.column(c).to_pylist() for c in columns), strict=True):
+        sizes, n, d = (np.frombuffer(x, k) for x, k in ((sizes, np.int64), (n, np.int32), (d, np.int64)))
         n = n.astype(np.int64)
         width = n + LENGTH - 1
+        data = np.frombuffer(pa.decompress(data, int(width.sum()), "zstd", asbytes=True), np.uint8)
         starts, doc = ranges(np.cumsum(width) - width, n), np.repeat(d, n)
         at = 0
         for size in sizes.tolist():  # a list for each shard
-            order = at + np.argsort(o[at : at + size])
-            lists.append(strings_at(data, starts[order]))
-            docs.append(doc[order])
-            places.append(order - at)
+            own = strings_at(data, starts[at : at + size])
+            order = np.argsort(own)
+            lists.append(own[order])
+            docs.append(doc[at + order])
+            places.append(order)
             at += size
     less = held_elsewhere(lists, docs)
     bits, k = [], 0
@@ -487,7 +493,7 @@ def passages(docs: DataFrame) -> DataFrame:
         yield from settled_rows(row["unit"], np.frombuffer(row["data"], np.uint8), done)
 
     settled = written(per_unit(units, [told], settle, SETTLED), "suffix-settled")
-    asked = settled.filter("bucket is not null").select("bucket", "unit", "lists", "n", "d", "o", "data")
+    asked = settled.filter("bucket is not null").select("bucket", "unit", "lists", "n", "d", "data")
     answers = asked.groupBy("bucket").applyInArrow(compared, REPLY)
     kept = settled.filter("bucket is null").select(F.col("unit").alias("of"), "gone", "start", "count", "echo", "echo_of")
     return per_unit(units.join(kept.hint("shuffle_hash"), F.col("unit") == F.col("of"), "left").drop("of"), [answers], finish, OUT)
@@ -495,26 +501,23 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def settled_rows(unit: int, data: np.ndarray, done: list[Settled]) -> Iterator[pa.RecordBatch]:
     """A row for each bucket that a unit asks, and one for the unit itself."""
-    base = np.cumsum([0, *(len(x.rank) for x in done)])
-    joined = lambda name, kind=np.int64: np.concatenate([*(getattr(x, name) for x in done), np.zeros(0, kind)]).astype(kind)
-    bucket, start, count, doc, rank = joined("bucket"), joined("start"), joined("count"), joined("doc"), joined("rank", np.uint32)
+    base = np.cumsum([0, *(x.strings for x in done)])
+    joined = lambda name: np.concatenate([*(getattr(x, name) for x in done), np.zeros(0, np.int64)]).astype(np.int64)
+    bucket, start, count, doc = joined("bucket"), joined("start"), joined("count"), joined("doc")
     shard = np.repeat(np.arange(len(done)), [len(x.bucket) for x in done])
     o = np.lexsort((shard, bucket))  # stable: runs of a shard keep their order
     was = np.cumsum(count) - count  # of each run the number of its first string, as the shards count them
     bucket, shard, start, count, doc, was = (x[o] for x in (bucket, shard, start, count, doc, was))
-    now = np.empty(len(rank), np.int64)  # of each string its number among the unit's answers
-    strings = ranges(was, count)
-    now[strings] = np.arange(len(strings))
-    rank = rank[strings]
+    now = np.empty(base[-1], np.int64)  # of each string its number among the unit's answers
+    now[ranges(was, count)] = np.arange(base[-1])
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
-    upto = np.concatenate([[0], np.cumsum(count)])
     rows: list[tuple] = []
     size = 0
-    none = [None] * 5
+    none = [None] * 4
     for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         lists = np.bincount(shard[i:j] - shard[i], count[i:j]).astype(np.int64)
         text = data[ranges(start[i:j], count[i:j] + LENGTH - 1)].tobytes()
-        rows.append((int(bucket[i]), unit, lists[lists > 0].tobytes(), count[i:j].astype(np.int32).tobytes(), doc[i:j].tobytes(), rank[upto[i] : upto[j]].tobytes(), text, *none))
+        rows.append((int(bucket[i]), unit, lists[lists > 0].tobytes(), count[i:j].astype(np.int32).tobytes(), doc[i:j].tobytes(), pa.compress(text, "zstd", asbytes=True), *[None] * 5))
         size += len(text)
         if size > CHUNK:
             yield record(SETTLED, *map(list, zip(*rows, strict=True)))
@@ -538,7 +541,7 @@ def finish(row: dict, bits: bytes) -> Iterator[pa.RecordBatch]:
     cover = np.zeros(len(data) + LENGTH + 1, np.int32)
     cover[hit] += 1
     cover[hit + LENGTH] -= 1
-    covered = np.cumsum(cover)[: len(data)] > 0
+    covered = np.cumsum(cover, dtype=np.int32)[: len(data)] > 0
     size = np.frombuffer(row["sizes"], np.int64)
     rows = []
     for i, a, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
