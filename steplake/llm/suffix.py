@@ -60,7 +60,9 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def minima(data: np.ndarray) -> np.ndarray:
-    """For each place the least hash of the 24-byte parts of the 50 bytes from there."""
+    """For each place the least hash of the 24-byte parts of the 50 bytes from there,
+    mixed once more (one to one): least hashes are small numbers, and ranges of them
+    would be of unlike size."""
     n = max(len(data) - LENGTH + 1, 0)
     out = np.empty(n, np.uint64)
     for at in range(0, n, BLOCK):
@@ -80,6 +82,9 @@ def minima(data: np.ndarray) -> np.ndarray:
         if span < WIDTH:
             h = np.minimum(h[: len(h) - WIDTH + span], h[WIDTH - span :])
         out[at : at + BLOCK] = h
+    out *= M2
+    out ^= out >> np.uint64(32)
+    out *= M3
     return out
 
 
