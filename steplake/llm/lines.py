@@ -28,12 +28,13 @@ def is_set(bits: Column, i: Column) -> Column:
     return F.coalesce(F.call_function("getbit", word, i.bitwiseAND(F.lit(63))) == 1, F.lit(False))
 
 
-def runs(flags: Column) -> Column:
-    """Bits as run lengths, comma-joined: unset ones first (0 if there are none), then set ones, and so on."""
-    n = F.size(flags)
-    turns = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & (F.get(flags, i) != F.get(flags, i - 1)))
-    edges = F.concat(F.when(F.get(flags, F.lit(0)), F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0))), turns, F.array(n))
-    return F.array_join(F.transform(F.slice(edges, 2, F.size(edges)), lambda e, i: (e - F.get(edges, i)).cast("string")), ",")
+def runs(bits: Column, n: Column) -> Column:
+    """The first n bits as run lengths, comma-joined: unset ones (0 if there are none),
+    then set ones, and so on. ``bits`` is a plain column, as lambdas look it up."""
+    turns = F.filter(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: is_set(bits, i) != is_set(bits, i - 1))
+    begin = F.when(is_set(bits, F.lit(0)), F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    ends = F.concat(F.slice(begin, 2, 1), turns, F.array(n))
+    return F.array_join(F.zip_with(ends, F.concat(begin, turns), lambda e, s: (e - s).cast("string")), ",")
 
 
 def drop_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +99,6 @@ def line_dedup(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first
     both = left.join(marks.hint("shuffle_hash"), left[id_col].cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(text) == marks["_h"]), "left")
     kept = F.when(marks["bits"].isNull(), text).otherwise(F.array_join(F.filter(lines(text), lambda _, i: ~is_set(marks["bits"], i)), "\n"))
     n = F.size(lines(text))
-    flags = F.transform(F.sequence(F.lit(0), n - 1), lambda i: is_set(marks["bits"], i))
-    keep = F.when(marks["bits"].isNull(), n.cast("string")).otherwise(runs(flags))
+    keep = F.when(marks["bits"].isNull(), n.cast("string")).otherwise(runs(marks["bits"], n))
     new = F.struct(F.size(lines(text)).cast("long").alias("n_lines"), F.coalesce(marks["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"), marks["bits"].alias("bits"), keep.alias("keep"), kept.alias("kept"))
     return both.select(*(left[c] for c in left.columns), new.alias("_lines"))
