@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .loose import natural_text
@@ -26,6 +26,26 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {out} RETURN {body}")
 
 
+def call(name: str, schema: dict, given: dict[str, Column]) -> Column:
+    """A registered function by name, its arguments in the order of a JSON schema.
+
+    Required arguments must be given; others take their default, or null. Raises
+    ValueError for an argument that is missing or unknown.
+    """
+    fields, required = schema.get("properties", {}), schema.get("required", [])
+    wrong = [k for k in required if k not in given] + [k for k in given if k not in fields]
+    if wrong:
+        raise ValueError(f"{name}: missing or unknown arguments {', '.join(wrong)}")
+    names = [*required, *(k for k in fields if k not in required)]
+    return F.call_function(name, *(given[k] if k in given else F.lit(fields[k].get("default")) for k in names))
+
+
+def session_functions(spark: SparkSession) -> DataFrame:
+    """The functions that the session itself knows by these names."""
+    known = [(f.name,) for f in spark.catalog.listFunctions() if f.isTemporary and f.name in {*ARROW, *SQL}]
+    return spark.createDataFrame(known, "name string")
+
+
 def listing(spark: SparkSession) -> DataFrame:
     """Names of the registered functions."""
     names = [(n, k) for k, xs in (("arrow", ARROW), ("sql", SQL)) for n in xs]

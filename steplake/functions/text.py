@@ -39,8 +39,7 @@ def tokens(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Tokens that aren't stop words, in order, repeats kept."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens(c), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def safe_short(c: Column, limit: int) -> Column:
@@ -101,6 +100,41 @@ def chunk_tokens(model: Column) -> Column:
     return out.otherwise(CHUNK_DEFAULT)
 
 
+#: Tokens of a chunk of a paper (fixed value).
+PAPER_TOKENS = 120000
+
+
+def token_chunks(vocabulary: str, size: int):  # noqa: ANN201
+    """A function that cuts texts into pieces of ``size`` tokens of a vocabulary file.
+
+    The file's path must be the same on every executor. Where the tokenizer can't
+    be had or fails, pieces have CHUNK_CHARS characters.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            from tokenizers import Tokenizer
+
+            known = Tokenizer.from_file(vocabulary)
+        except Exception:  # any failure of the library means pieces of characters
+            known = None
+
+        def one(t: str | None) -> list[str]:
+            if not t:
+                return []
+            if known is None:
+                return [t[i : i + CHUNK_CHARS] for i in range(0, len(t), CHUNK_CHARS)]
+            ends = [e for _, e in known.encode(t, add_special_tokens=False).offsets]
+            marks = [0, *(ends[i - 1] for i in range(size, len(ends), size)), len(t)]
+            return [t[a:b] for a, b in zip(marks, marks[1:], strict=False)]
+
+        for s in texts:
+            yield s.map(one)
+
+    return cut
+
+
 def fill(template: str, **values: Column) -> Column:
     """A template's {names} replaced by columns."""
     out = F.lit(template)

@@ -6,22 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def listed(df: DataFrame, key: str, order: str, line: Column, name: str) -> DataFrame:
+def ordered(df: DataFrame, key: str, order: str, line: Column, tie: str | None) -> DataFrame:
+    """``r``: a key's lines in order, of equals by ``tie``; a null line is an empty one."""
+    row = F.struct(F.col(order).alias("o"), *([F.col(tie).alias("t")] if tie else []), F.coalesce(line, F.lit("")).alias("l"))
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("r"))
+
+
+def listed(df: DataFrame, key: str, order: str, line: Column, name: str, tie: str | None = None) -> DataFrame:
     """Lines of each key in order, joined: one row per key."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("r"))
+    rows = ordered(df, key, order, line, tie)
     return rows.select(key, F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias(name))
 
 
-def numbered(df: DataFrame, key: str, order: str, body: Column, name: str) -> DataFrame:
-    """``1. body`` and so on for each key."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), body.alias("l")))).alias("r"))
+def numbered(df: DataFrame, key: str, order: str, body: Column, name: str, tie: str | None = None) -> DataFrame:
+    """``1. body`` and so on for each key; an entry without text keeps its number."""
+    rows = ordered(df, key, order, body, tie)
     return rows.select(key, F.array_join(F.transform("r", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["l"])), "\n").alias(name))
 
 
 def parsed_block(score: Column, content: Column, urls: Column) -> Column:
     """Score, content and related links; empty lines left out."""
-    links = F.transform(F.coalesce(urls, F.array().cast("array<struct<url:string,description:string>>")), lambda u: F.concat(F.lit("- "), u["url"], F.lit(": "), u["description"]))
-    head = F.array(F.concat(F.lit("score: "), score.cast("string")), F.trim(content), F.when(F.size(links) > 0, "related_urls:").otherwise(""))
+    links = F.transform(F.coalesce(urls, F.array().cast("array<struct<url:string,description:string>>")), lambda u: F.concat(F.lit("- "), u["url"], F.lit(": "), F.coalesce(u["description"], F.lit(""))))
+    head = F.array(F.concat(F.lit("score: "), F.coalesce(score.cast("string"), F.lit(""))), F.trim(content), F.when(F.size(links) > 0, "related_urls:").otherwise(""))
     return F.array_join(F.filter(F.concat(head, links), lambda x: x != ""), "\n")
 
 

@@ -18,11 +18,11 @@ def workflow_match(queries: DataFrame, goals: DataFrame, id_col: str, text_col:
     counts are partial sums beside the join, and the best goal an aggregate. Ties
     go to the smaller goal id. Texts that no goal fits have no row.
     """
-    q = queries.select(F.col(id_col), F.explode(F.array_distinct(content_tokens(F.col(text_col)))).alias("word"))
-    g = goals.select(F.col(goal_id), content_tokens(F.col(goal_text)).alias("words")).withColumn("size", F.size("words"))
-    g = g.select(goal_id, "size", F.explode(F.array_distinct("words")).alias("word"))
-    met = q.join(g, "word").groupBy(id_col, goal_id, "size").agg(F.count("*").alias("overlap"))
+    q = queries.select(F.col(id_col).alias("_q"), F.explode(F.array_distinct(content_tokens(F.col(text_col)))).alias("word"))
+    g = goals.select(F.col(goal_id).alias("_g"), content_tokens(F.col(goal_text)).alias("words")).withColumn("size", F.size("words"))
+    g = g.select("_g", "size", F.explode(F.array_distinct("words")).alias("word"))
+    met = q.join(g, "word").groupBy("_q", "_g", "size").agg(F.count("*").alias("overlap"))
     met = met.withColumn("ratio", F.col("overlap") / F.greatest("size", F.lit(1)))
     met = met.filter(F.col("ratio") >= F.when(F.col("size") >= LONG_GOAL, LONG_SHARE).otherwise(SHORT_SHARE)).withColumn("score", 2 * F.col("overlap") + F.col("ratio"))
-    best = met.groupBy(id_col).agg(F.max(F.struct("score", (-F.col(goal_id)).alias("low"), "overlap", "ratio")).alias("b"))
-    return best.select(id_col, (-F.col("b.low")).alias(goal_id), "b.overlap", "b.ratio", "b.score")
+    best = met.groupBy("_q").agg(F.min_by(F.struct("_g", "overlap", "ratio", "score"), F.struct((-F.col("score")).alias("s"), "_g")).alias("b"))
+    return best.select(F.col("_q").alias(id_col), F.col("b._g").alias(goal_id), "b.overlap", "b.ratio", "b.score")

@@ -7,9 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def best_per_group(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The row of greatest value per key; of equals the first in order. NaN never wins
-    over a number. An aggregate, so a large group is reduced before it moves."""
+    over a number. An aggregate, so a large group is reduced before it moves; texts
+    are ranked, which Spark limits before the exchange."""
+    if dict(df.dtypes)[value] in ("string", "boolean", "date", "timestamp", "timestamp_ntz"):
+        return top_k_per_key(df, key, 1, F.desc_nulls_last(value), order)
     worth = F.when(F.isnan(F.col(value).cast("double")), None).otherwise(F.col(value))
     row = F.struct(*(c for c in df.columns))
     return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, F.struct((-worth).isNull(), -worth, order)).alias("r")).select("r.*")
@@ -17,7 +27,8 @@ def best_per_group(df: DataFrame, key: str, value: str, order: str) -> DataFrame
 
 def top_k_per_key(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     """The first k rows of each key (Spark limits each group before the exchange)."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+    n = fresh(df, "_n")
+    return df.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col(n) <= k).drop(n)
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:

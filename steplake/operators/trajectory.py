@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .selection import fresh
+
 
 def chain(df: DataFrame, task: str, node: str) -> DataFrame:
     """Adds ``parent_id, children, depth, root_id, viz_x, viz_y`` of each task's chain in node order."""
@@ -64,10 +66,5 @@ def repaired_ids(ids: Column) -> Column:
 def until_terminal(df: DataFrame, session: str, order: str, terminal: Column) -> DataFrame:
     """Events up to and with the first terminal one of each session."""
     before = W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("_done", F.coalesce(F.max(terminal).over(before), F.lit(False))).filter("not _done").drop("_done")
-
-
-def subtasks(contract: Column) -> Column:
-    """The subtasks of a contract variant under any of their spellings."""
-    get = lambda p: F.try_variant_get(contract, p, "array<variant>")
-    return F.coalesce(get("$['sub-tasks']"), get("$.sub_tasks"), get("$.subtasks"))
+    done = fresh(df, "_done")
+    return df.withColumn(done, F.coalesce(F.max(terminal).over(before), F.lit(False))).filter(~F.col(done)).drop(done)

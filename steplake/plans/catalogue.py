@@ -109,15 +109,6 @@ def depth_layout(t):
     return trajectory.depth_layout(c, "conv_id", "depth", "turn")
 
 
-@query("""
-    SELECT conv_id, turn, coalesce(string_agg(nullif(left(text, 20), ''), chr(10) ORDER BY turn) OVER (
-        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS memory
-    FROM conversations
-""")
-def running_memory(t):
-    return t("conversations").select("conv_id", "turn", trajectory.running_memory(F.left("text", F.lit(20)), "conv_id", "turn").alias("memory"))
-
-
 @query("""
     SELECT conv_id, turn, coalesce(string_agg(nullif(text, ''), chr(10) ORDER BY turn) OVER (
         PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS memory
@@ -239,11 +230,6 @@ def first_paragraph(t):
     return t("documents").select("doc_id", T.first_paragraph(F.col("text")).alias("summary"))
 
 
-@query(r"SELECT doc_id, regexp_replace(left(text, 60), '[^\p{L}\p{N}._-]', '_', 'g') AS name FROM documents")
-def sanitize_name(t):
-    return t("documents").select("doc_id", T.sanitized(F.left("text", F.lit(60))).alias("name"))
-
-
 @query(r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}._-]', '_', 'g') AS name FROM documents")
 def sanitize_name_whole(t):
     return t("documents").select("doc_id", T.sanitized(F.col("text")).alias("name"))
@@ -273,22 +259,11 @@ def chunk_budget(t):
     return t("documents").select("doc_id", T.chunk_tokens(model).alias("tokens"))
 
 
-@query("SELECT conv_id, turn, 'Task ' || conv_id || ' by ' || role || ': ' || left(text, 40) AS prompt FROM conversations")
-def template_fill(t):
-    return t("conversations").select("conv_id", "turn", T.fill("Task {id} by {who}: {text}", id=F.col("conv_id"), who=F.col("role"), text=F.left("text", F.lit(40))).alias("prompt"))
-
-
 @query("SELECT conv_id, turn, 'Task ' || conv_id || ' by ' || role || ': ' || text AS prompt FROM conversations")
 def template_fill_whole(t):
     return t("conversations").select("conv_id", "turn", T.fill("Task {id} by {who}: {text}", id=F.col("conv_id"), who=F.col("role"), text=F.col("text")).alias("prompt"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(list_extract(string_split('<think>' || left(text, 9) || '</think> ' || left(text, 30), '</think>'), -1), '^\s+|\s+$', '', 'g') AS answer FROM conversations")
-def after_think(t):
-    x = F.concat(F.lit("<think>"), F.left("text", F.lit(9)), F.lit("</think> "), F.left("text", F.lit(30)))
-    return t("conversations").select("conv_id", "turn", T.after_think(x).alias("answer"))
-
-
 @query(r"SELECT conv_id, turn, regexp_replace(list_extract(string_split('<think>' || text || '</think> ' || text, '</think>'), -1), '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def after_think_whole(t):
     x = F.concat(F.lit("<think>"), "text", F.lit("</think> "), "text")
@@ -334,15 +309,6 @@ def natural_text(t):
 # Formatting
 
 
-@query("""
-    SELECT conv_id, string_agg(n || '. ' || role || chr(10) || 'URL: ' || turn || chr(10) || left(text, 30), chr(10) ORDER BY turn) AS results
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
-""")
-def format_results(t):
-    body = F.concat("role", F.lit("\nURL: "), F.col("turn").cast("string"), F.lit("\n"), F.left("text", F.lit(30)))
-    return formatting.numbered(t("conversations"), "conv_id", "turn", body, "results")
-
-
 @query("""
     SELECT conv_id, string_agg(n || '. ' || role || chr(10) || 'URL: ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS results
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
@@ -472,3 +438,6 @@ def latex_repair(t):
 @query("SELECT event_id, event_type LIKE '%w%' OR event_type LIKE '%a%' OR event_type LIKE '%+%' AS blocked FROM events")
 def write_mode_guard(t):
     return t("events").select("event_id", J.blocked_mode(F.col("event_type")).alias("blocked"))
+
+
+from . import runs  # noqa: E402, F401  (registers its queries)
