@@ -534,3 +534,33 @@ def test_operators_over_nulls_and_repeats(spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     for got in (quality_model.quality_scores(make(spark, rows), labels), rules.quality_rules(make(spark, rows), labels), simhash.near_duplicates(make(spark, rows)), licenses.license_scan(make(spark, rows)), pii.find_personal_data(make(spark, rows)), suffix.removed_passages(make(spark, rows)), lines.line_dedup(make(spark, rows))):
         assert got.count() == len(rows)
+
+
+def test_recall_of_similar_documents(spark):
+    """600 pairs of similarity 0.80 to 0.85 and 200 of 0.75 to 0.80, of 20 to 1,200 words, some with repeated lines."""
+    r = random.Random(31)
+    names = [f"w{k}" for k in range(5000)]
+
+    def shingles(w):
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    rows, want, left = [], [], {True: 600, False: 200}
+    while any(left.values()):
+        size = r.choice([20, 60, 150, 400, 1200])
+        base = r.choices(names, k=size)
+        if r.random() < 0.3:
+            base += base[:12] * r.randint(1, 6)
+        other = list(base)
+        for _ in range(r.randint(1, max(1, size // 30))):
+            other[r.randrange(len(other))] = r.choice(names)
+        x, y = shingles(base), shingles(other)
+        like = len(x & y) / len(x | y)
+        if 0.75 <= like <= 0.85 and left[like >= 0.8]:
+            left[like >= 0.8] -= 1
+            rows += [(2 * len(want), " ".join(base)), (2 * len(want) + 1, " ".join(other))]
+            want.append(like >= 0.8)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(make(spark, rows)).collect()}
+    found = [got[2 * k + 1] == got[2 * k] for k in range(len(want))]
+    hit = sum(f and w for f, w in zip(found, want, strict=True))
+    print(f"recall {hit} of 600")
+    assert hit >= 594 and not any(f and not w for f, w in zip(found, want, strict=True))
