@@ -110,10 +110,8 @@ def completed_subtasks(t):
 
 @query("SELECT user_id AS subtask_id, row_number() OVER (ORDER BY user_id) AS pos FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')")
 def completed_order(t):
-    from pyspark.sql import Window as W
-
     done = t("events").filter("event_type = 'purchase'").select(F.col("user_id").alias("subtask_id")).distinct()
-    return done.withColumn("pos", F.row_number().over(W.orderBy("subtask_id")).cast("long"))
+    return selection.positions(done, "subtask_id")
 
 
 @query("SELECT conv_id, turn AS node_id, turn + 1 AS depth, conv_id AS subtask_id, role AS node_type, text AS description, text AS result, text AS theoretician_output, '' AS log_path, CAST(0 AS DOUBLE) AS reward, '' AS memory FROM conversations")
@@ -142,9 +140,7 @@ def visual_nodes(t):
     SELECT o_orderkey AS parent_id, o_custkey AS child_id, a.pos AS source, b.pos AS target FROM orders JOIN n a ON o_orderkey = a.c_custkey JOIN n b ON o_custkey = b.c_custkey
 """)
 def indexed_edges(t):
-    from pyspark.sql import Window as W
-
-    nodes = t("customer").select("c_custkey", F.row_number().over(W.orderBy(F.desc("c_custkey"))).cast("long").alias("pos"))
+    nodes = selection.positions(t("customer").select("c_custkey"), "c_custkey", descending=True)
     e = t("orders").select(F.col("o_orderkey").alias("parent_id"), F.col("o_custkey").alias("child_id"))
     return records.indexed_edges(e, nodes, "c_custkey", "pos")
 

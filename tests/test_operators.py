@@ -81,3 +81,16 @@ def test_whole_texts(spark, tmp_path):
     assert got["template_fill"] == [(1, i, f"Task 1 by user: {t}") for i, t in enumerate(texts)]
     assert got["after_think"] == [(1, i, t.split("</think>")[-1].strip()) for i, t in enumerate(texts)]
     assert got["format_results"] == [(1, "\n".join(f"{i + 1}. user\nURL: {i}\n{t}" for i, t in enumerate(texts)))]
+
+
+def test_positions(spark):
+    keys = [None, None, *(i * 37 % 101 for i in range(300))]
+    df = spark.createDataFrame([(k, i, "x") for i, k in enumerate(keys)], "k long, n long, _of string").repartition(5)
+    up = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    down = sorted(range(len(keys)), key=lambda i: (keys[i] is None, -(keys[i] or 0), i))
+    for descending, want in ((False, up), (True, down)):
+        got = selection.positions(df, "k", "pos", descending, "n")
+        assert got.columns == ["k", "n", "_of", "pos"]
+        assert {r.n: r.pos for r in got.collect()} == {i: p + 1 for p, i in enumerate(want)}
+    assert selection.positions(df.filter("false"), "k").count() == 0
+    assert [r.pos for r in selection.positions(df.filter("k is null"), "k", "pos", False, "n").orderBy("n").collect()] == [1, 2]
