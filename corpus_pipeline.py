@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steplake.llm import decontam, lines, packing, rules, simhash
-from steplake.llm.common import lasting, scratch, written
+from steplake.llm.common import TEXT_ROWS, gathered, lasting, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = {"text": F.col("_lines.kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_lines.kept").cast("long")
-    return done.withColumns(new).select(*docs.columns)
+    return gathered(done.withColumns(new).select(*docs.columns), docs.count(), TEXT_ROWS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are a group; rows with a null id stay; of rows that repeat
     an id one stays.
     """
-    return simhash.drop_near_duplicates(docs, 5, similarity=0.8)
+    return gathered(simhash.drop_near_duplicates(docs, 5, similarity=0.8), docs.count(), TEXT_ROWS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts and rows with a null id stay; of an id that is named all
     rows go. No benchmark drops nothing.
     """
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=4)
+    kept = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=4)
+    return gathered(kept, docs.count(), TEXT_ROWS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes that a Python worker looks at together. Spark bounds the batches
 #: it sends by bytes itself (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows of a few numbers, or of texts, that fill a partition of some MB.
+NUMBER_ROWS, TEXT_ROWS = 1 << 18, 1 << 12
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,6 +91,17 @@ def noted(path: str, name: str | None = None, outer: bool = False) -> None:
         open_[-1].append((path, name))
 
 
+def gathered(df: DataFrame, rows: int, each: int = NUMBER_ROWS) -> DataFrame:
+    """The same rows in at most two partitions a core, or one for each so many rows if that is more.
+
+    Where Spark doesn't join small partitions itself, a stored table has a file for
+    each one, and to make a file Hadoop starts two processes (``chmod``) from the
+    executor on a local disk. ``rows`` is about what ``df`` has at most; it bounds
+    nothing but the number of partitions.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """Cut the lineage of a small table by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -141,7 +154,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of an undirected graph by alternating star contraction.
 
     ``edges`` has long columns ``a`` and ``b``. Returns ``node``, ``component``
@@ -149,10 +162,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     is a partial aggregate and an equi-join, so a node with very many edges is
     pre-aggregated and its join can be split; nothing but two numbers a round
     reaches the driver. Nulls and self loops are dropped; no edges give no rows.
+    ``rows`` is about how many edges there are at most, if that is known (``gathered``).
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = cut(e.filter("u is not null and v is not null and u != v").distinct())
-    mark = None
+    e = e.filter("u is not null and v is not null and u != v").distinct()
+    e = cut(e if rows is None else gathered(e, rows))
+    sums = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    mark = e.agg(*sums).first()
     for _ in range(most_rounds):
         # large star: neighbours above a node move to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,8 +177,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its neighbours below move to the smallest of them
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
         moved = e1.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = cut(moved.select("x.u", "x.v").filter("u != v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = cut(gathered(moved.select("x.u", "x.v").filter("u != v").distinct(), mark[0]))
+        now = e.agg(*sums).first()
         if now == mark:
             break
         mark = now

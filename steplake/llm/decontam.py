@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lasting, pieces, scratch, texts, written
+from .common import TEXT_ROWS, gathered, lasting, pieces, scratch, texts, written
 from .ragged import CLASS, token_hashes
 
 #: Number words and units of measure (fixed values). Short units count after a number only.
@@ -367,7 +367,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
     schema = "doc_id long, item_id long, n_matched long, n_item long"
     with scratch(spark):
         items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text")).dropna().distinct()
-        items = written(items.select(F.xxhash64("item_id", "text").alias("key"), "item_id", "text"), "items")
+        items = items.select(F.xxhash64("item_id", "text").alias("key"), "item_id", "text")
+        items = written(gathered(items, benchmark.count(), TEXT_ROWS), "items")
         parts = written(item_parts(items, window, span, least), "item-windows")
         sieve, n = sieve_of(parts)
         windows = parts.filter("h is not null").select("h", "key")
@@ -409,7 +410,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "n_matched", "n_item"])
                     i = j
 
-        return lasting(asked.mapInArrow(check, schema))
+        return lasting(gathered(asked.mapInArrow(check, schema), found.count(), TEXT_ROWS))
 
 
 def window_hits(batch: list[str], sieve: Sieve, window: int, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, list[int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lasting, scratch, written
+from .common import ascii_lower, gathered, lasting, scratch, written
 
 #: Repeated keys up to this many (24 bytes each) are broadcast. Of more, those are that
 #: have over one in so many lines, and so are fewer; the others are joined by a shuffle.
@@ -63,11 +63,12 @@ def bitmaps(df: DataFrame, min_docs: int, min_chars: int, keep_first: bool, id_c
     found = dealt.groupBy("h1", "h2", "_id").agg(F.min(F.struct("_h", "pos")).alias("first"), F.count("*").alias("n"))
     counts = found.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("n").alias("lines"), F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "first._h", "first.pos")).alias("first"))
     hot = counts.filter(F.col("docs") >= min_docs).select("h1", "h2", "first", "lines")
-    hot = written(hot, "line-keys")
+    n = table.count()
+    hot = written(gathered(hot, n), "line-keys")
     if hot.count() <= MOST_BROADCAST:
         gone = table.join(F.broadcast(hot), ["h1", "h2"])
     else:  # no key of the shuffled part has more than one in MOST_BROADCAST lines
-        many = F.col("lines") > table.count() / MOST_BROADCAST
+        many = F.col("lines") > n / MOST_BROADCAST
         gone = table.join(F.broadcast(hot.filter(many)), ["h1", "h2"]).unionByName(table.join(hot.filter(~many), ["h1", "h2"]))
     if keep_first:
         gone = gone.filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h")) & (F.col("pos") == F.col("first.pos"))))
@@ -75,7 +76,7 @@ def bitmaps(df: DataFrame, min_docs: int, min_chars: int, keep_first: bool, id_c
     words = gone.groupBy("_id", "_h", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(bit).alias("b"))
     maps = words.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("top"), F.sum(F.bit_count("b")).alias("n_dropped"))
     bits = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
-    return maps.select("_id", "_h", bits.alias("bits"), F.col("n_dropped").cast("long").alias("n_dropped"))
+    return gathered(maps.select("_id", "_h", bits.alias("bits"), F.col("n_dropped").cast("long").alias("n_dropped")), n)
 
 
 def line_dedup(df: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lasting, pieces, scratch, texts, written
+from .common import components, cut, gathered, lasting, pieces, scratch, texts, written
 
 SEED = 42
 SEGMENTS = 4
@@ -42,6 +42,8 @@ SLOTS = 256
 MARGIN = 0.125
 #: Hashes in a cell of a group (8 bytes each).
 MOST_HASHES = 1 << 21
+#: Rows that fill a partition of some MB: nodes with bands and sketch, and sets of hashes.
+NODE_ROWS, SET_ROWS = 1 << 14, 1 << 11
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -251,10 +253,11 @@ def near_links(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     masks = first_masks()
+    most = len(masks) * nodes.count()
     rows = keyed(nodes, F.array(*(F.lit(m) for m in signed(masks))))
     out = []
     for unit in (8, 4):
-        large = cut(rows.groupBy("key").count().filter(F.col("count") > MOST).select("key"))
+        large = cut(gathered(rows.groupBy("key").count().filter(F.col("count") > MOST).select("key"), most))
         n = large.count()
         if not n:
             break
@@ -290,10 +293,11 @@ def near_duplicates(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     """
     with scratch(df.sparkSession):
         fps = cut(fingerprints(df, shingle, id_col, text_col))
-        nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-        found = components(near_links(nodes.filter("rep is not null")))
+        n = fps.count()
+        nodes = cut(gathered(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), n))
+        found = components(near_links(nodes.filter("rep is not null")), rows=len(first_masks()) * n)
         groups = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-        return lasting(fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id"))
+        return lasting(gathered(fps.join(groups, fps["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id"), n))
 
 
 def profile(text: str, shingle: int) -> tuple[int, int, list[int], bytes]:
@@ -362,8 +366,10 @@ def group_similar(members: DataFrame, data: DataFrame, similarity: float, exact:
     MOST members, or MOST_HASHES hashes (``n``), is dealt over cells. Members and
     then one of each component are linked within cells; what that leaves in several
     components is cut into blocks, and each two blocks meet in a cell, so every two
-    members not yet connected are compared and no task holds a large group.
+    members not yet connected are compared and no task holds a large group. Links of
+    earlier steps come back as those of their components.
     """
+    most = BANDS * data.count()
 
     def cells_of(rows: DataFrame) -> DataFrame:
         size = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter("m > 1")
@@ -371,29 +377,29 @@ def group_similar(members: DataFrame, data: DataFrame, similarity: float, exact:
 
     def compare(rows: DataFrame) -> DataFrame:
         full = rows.select("cell", "comp", "rep").join(data, "rep")
-        return cut(full.repartition("cell").sortWithinPartitions("cell", "fp", "rep").mapInArrow(similar_cells(similarity, exact), "a long, b long"))
+        return full.repartition("cell").sortWithinPartitions("cell", "fp", "rep").mapInArrow(similar_cells(similarity, exact), "a long, b long")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.join(cells_of(rows), "key").withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("rep", "key"), "cells")))
 
-    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    def labelled(rows: DataFrame, part: DataFrame) -> DataFrame:
         """Rows with their components, of those groups that have more than one."""
-        part = components(found)
         now = rows.join(part, rows["rep"] == part["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        now = cut(now)
+        now = cut(gathered(now, most))
         return now.join(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "key")
 
     found = compare(dealt(members).withColumn("comp", F.col("rep")))
-    large = cut(members.join(cells_of(members).filter("cells > 1").select("key"), "key").select("key", "rep", "n").distinct())
+    large = cut(gathered(members.join(cells_of(members).filter("cells > 1").select("key"), "key").select("key", "rep", "n").distinct(), most))
     if large.isEmpty():
         return found
-    parts = labelled(large, found)
+    part = components(found, rows=most)
+    parts = labelled(large, part)
     roots = parts.groupBy("key", "comp").agg(F.min(F.struct("rep", "n")).alias("r")).select("key", "r.rep", "r.n", "comp")
-    found = found.unionByName(compare(dealt(roots)))
-    parts = labelled(large, found)
+    part = components(part.toDF("a", "b").unionByName(compare(dealt(roots))), rows=most)
+    parts = labelled(large, part)
     blocks = parts.join(cells_of(parts).withColumn("cells", 2 * F.col("cells")), "key").withColumn("i", F.pmod(F.xxhash64("rep", "key"), "cells"))
     met = blocks.withColumn("j", F.explode(F.expr("sequence(0L, cells - 1)"))).filter("i != j")
-    return found.unionByName(compare(met.withColumn("cell", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))))
+    return part.toDF("a", "b").unionByName(compare(met.withColumn("cell", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))))
 
 
 def distinct_hashes(df: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -428,17 +434,18 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def similar_components(df: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     found = written(profiles(df, shingle, id_col, text_col), "profiles")
     nodes = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
+    n = found.count()
+    nodes = written(gathered(nodes, n, NODE_ROWS), "nodes")
     named = nodes.filter("rep is not null")
     bands = named.select("rep", F.posexplode("bands").alias("at", "band")).select(F.xxhash64("at", "band").alias("key"), "rep", F.lit(0).cast("long").alias("n"))
-    maybe = components(group_similar(bands, named.select("rep", "fp", "sketch"), similarity, False)).withColumnRenamed("node", "rep")
-    few = cut(named.join(maybe, "rep").select("rep", "same", "fp", "sketch", "component"))
+    maybe = components(group_similar(bands, named.select("rep", "fp", "sketch"), similarity, False), rows=BANDS * n).withColumnRenamed("node", "rep")
+    few = cut(gathered(named.join(maybe, "rep").select("rep", "same", "fp", "sketch", "component"), n, NODE_ROWS))
     sets = distinct_hashes(df, few.select("rep", "same"), shingle, id_col, text_col)
-    data = written(sets.join(few, ["rep", "same"]), "sets")
+    data = written(gathered(sets.join(few, ["rep", "same"]), few.count(), SET_ROWS), "sets")
     members = data.select(F.col("component").alias("key"), "rep", "n")
-    parts = components(group_similar(members, data.select("rep", "fp", "sketch", "hashes"), similarity, True))
+    parts = components(group_similar(members, data.select("rep", "fp", "sketch", "hashes"), similarity, True), rows=n)
     groups = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(groups, found["same"] == groups["_same"]).select("doc_id", "fp", "component_id")
+    return gathered(found.join(groups, found["same"] == groups["_same"]).select("doc_id", "fp", "component_id"), n)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
@@ -450,15 +457,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_i
     """
     with scratch(docs.sparkSession):
         found = near_duplicates(docs, shingle, id_col, text_col) if similarity is None else similar_documents(docs, shingle, similarity, id_col, text_col)
-        spare = lasting(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct())
+        n = found.count()
+        spare = lasting(gathered(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_spare")).distinct(), n))
     kept = docs.join(spare, docs[id_col].cast("long") == spare["_spare"], "left_anti")
-    return one_of_each(kept, id_col, text_col)
+    return one_of_each(kept, id_col, text_col, n)
 
 
-def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each id, nulls aside; only ids that repeat are shuffled with their texts."""
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """One row for each id, nulls aside; only ids that repeat are shuffled with their texts. ``rows``: at most."""
     again = docs.groupBy(docs[id_col].alias("_id")).count().filter("count > 1 and _id is not null").select("_id")
-    again = cut(again)
+    again = cut(gathered(again, rows))
     if again.isEmpty():
         return docs
     rest = docs.join(again, docs[id_col] == again["_id"], "left_anti")

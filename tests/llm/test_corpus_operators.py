@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -564,3 +565,27 @@ def test_recall_of_similar_documents(spark):
     hit = sum(f and w for f, w in zip(found, want, strict=True))
     print(f"recall {hit} of 600")
     assert hit >= 594 and not any(f and not w for f, w in zip(found, want, strict=True))
+
+
+def test_stored_tables_have_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, and with a hot key in many cells."""
+    monkeypatch.setattr(simhash, "MOST", 10)
+    paths = []
+    monkeypatch.setattr(common, "noted", lambda path, *_, **__: paths.append(path))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, f"own{i}", "same line\nother"])) for i in range(60)] + [(60 + i, " ".join(f"d{i}w{k}" for k in range(100))) for i in range(20)]
+    docs, items = make(spark, rows), spark.createDataFrame([(1, " ".join(f"d3w{k}" for k in range(40)))], "item_id long, text string")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert {r._lines.n_dropped for r in lines.line_dedup(docs).filter("doc_id < 60").collect()} == {1}
+        assert {r.doc_id for r in simhash.drop_near_duplicates(docs, 5, similarity=0.8).collect()} == {0, *range(60, 80)}
+        assert {r.component_id for r in simhash.near_duplicates(docs).collect()} >= set(range(60, 80))
+        assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()] == [(63, 1)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [sum(f.startswith("part-") for f in os.listdir(re.sub("^file:/+", "/", p))) for p in paths]
+    assert len(files) > 20 and max(files) <= 2 * spark.sparkContext.defaultParallelism
