@@ -410,7 +410,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, span: i
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "n_matched", "n_item"])
                     i = j
 
-        return lasting(gathered(asked.mapInArrow(check, schema), found.count(), TEXT_ROWS))
+        return lasting(gathered(asked.mapInArrow(check, schema), found.count(), TEXT_ROWS // 4))  # a text meets several items
 
 
 def window_hits(batch: list[str], sieve: Sieve, window: int, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, list[int]]:

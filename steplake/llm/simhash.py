@@ -42,8 +42,8 @@ SLOTS = 256
 MARGIN = 0.125
 #: Hashes in a cell of a group (8 bytes each).
 MOST_HASHES = 1 << 21
-#: Rows that fill a partition of some MB: nodes with bands and sketch, and sets of hashes.
-NODE_ROWS, SET_ROWS = 1 << 14, 1 << 11
+#: Rows that fill a partition of some MB: nodes with bands and sketch, and sets of hashes with the texts they come from.
+NODE_ROWS, SET_ROWS = 1 << 14, 1 << 8
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
